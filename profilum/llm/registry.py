@@ -1,8 +1,9 @@
 """Queries of the text operators and their SQL twins."""
 
-from profilum.llm import decontam
+from profilum.llm import decontam, flac
 
 QUERIES = {
+    "op1_media_columns": flac.op1_media_columns,
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
 }
 ORACLES = {
