@@ -1,9 +1,10 @@
 """Queries of the text operators and their SQL twins."""
 
-from profilum.llm import decontam, flac
+from profilum.llm import decontam, flac, token_counts
 
 QUERIES = {
     "op1_media_columns": flac.op1_media_columns,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
 }
 ORACLES = {
