@@ -82,6 +82,9 @@ class Pieces:
         for k, c in enumerate(chars, 1):
             self.char[ord(c)] = k
         self.char[0x20] = self.char[SPACE]
+        #: the same for texts in which a written U+2581 must not become a space
+        self.plain = self.char.copy()
+        self.plain[SPACE] = 0
         self.n_chars = len(chars) + 1
         self.single = np.full(self.n_chars, UNKNOWN, np.int64)
         joined = np.zeros((self.n_chars, self.n_chars), bool)
@@ -126,16 +129,17 @@ class Pieces:
             return none, none, none
         return np.concatenate(starts), np.concatenate(lengths), np.concatenate(ids)
 
-    def segments(self, texts: list[str], prefix: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def segments(self, texts: list[str], prefix: bool = True, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Code points of all texts (a space before each that isn't empty), segment starts, row offsets in code points, and in segments.
 
         No piece stands across two segments, so each is encoded by itself.
+        With ``plain`` a written U+2581 is a character without a piece.
         """
         if prefix:
             texts = [" " + t if t else "" for t in texts]
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         rows = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        chars = self.char[points]
+        chars = (self.plain if plain else self.char)[points]
         cut = np.ones(len(points), bool)
         if len(points):
             cut[1:] = ~self.joined[chars[:-1], chars[1:]]
