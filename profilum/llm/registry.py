@@ -1,11 +1,12 @@
 """Queries of the text operators and their SQL twins."""
 
-from profilum.llm import chat, decontam, flac, sampling, token_counts
+from profilum.llm import chat, decontam, flac, sampling, token_counts, toxicity
 
 QUERIES = {
     "op1_media_columns": flac.op1_media_columns,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_sentencepiece_sampling": sampling.op4_sentencepiece_sampling,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
 }
