@@ -1,6 +1,6 @@
 """Queries of the text operators and their SQL twins."""
 
-from profilum.llm import chat, decontam, flac, sampling, token_counts, toxicity
+from profilum.llm import chat, decontam, flac, quality, sampling, token_counts, toxicity
 
 QUERIES = {
     "op1_media_columns": flac.op1_media_columns,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_sentencepiece_sampling": sampling.op4_sentencepiece_sampling,
     "op5_toxicity": toxicity.op5_toxicity,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op10_quality_classifier": quality.op10_quality_classifier,
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
 }
 ORACLES = {
