@@ -1,9 +1,10 @@
 """Queries of the text operators and their SQL twins."""
 
-from profilum.llm import chat, decontam, flac, licenses, quality, sampling, substrings, token_counts, toxicity
+from profilum.llm import chat, decontam, flac, jaccard, licenses, quality, sampling, substrings, token_counts, toxicity
 
 QUERIES = {
     "op1_media_columns": flac.op1_media_columns,
+    "op2_ngram_jaccard_join": jaccard.op2_ngram_jaccard_join,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_sentencepiece_sampling": sampling.op4_sentencepiece_sampling,
     "op5_toxicity": toxicity.op5_toxicity,
@@ -14,6 +15,7 @@ QUERIES = {
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
 }
 ORACLES = {
+    "op2_ngram_jaccard_join": jaccard.ORACLE_SQL,
     "op6_substring_dedup": substrings.ORACLE_SQL,
     "op7_license_scans": licenses.ORACLE_SQL,
     "op3_chat_formatting": chat.ORACLE_SQL,
