@@ -224,6 +224,29 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_
     return build_index(docs, vocabulary).mapInArrow(answer, schema)
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, in which no phrase of the items occurs."""
+    context = docs.sparkSession.sparkContext
+    blocks = list(phrase_blocks(items, width, block_bytes))
+    known = context.broadcast(Vocabulary(np.unique(np.concatenate([b.vocabulary for b in blocks]))))
+    sent = [context.broadcast(b) for b in blocks]
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in X.slices(batches, text_col):
+            _, _, _, rows, hashes = X.split_words(batch.column(at).cast(pa.string()), X.ALNUM, lower=True)
+            place, term = known.value.find(hashes)
+            postings = place[np.argsort(term, kind="stable")]
+            count = np.bincount(term, minlength=len(known.value.terms))
+            clean = np.ones(batch.num_rows, bool)
+            for part in sent:
+                _, start = occurrences(known.value.terms[count > 0], count[count > 0], postings, rows, part.value)
+                clean[np.searchsorted(rows, start, "right") - 1] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))

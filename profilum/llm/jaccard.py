@@ -412,6 +412,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.where("n > 0").join(sets, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").unionByName(empty)
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows, with all their columns, whose doc_id is the least of its component; rows repeated in id and text once.
+
+    Rows without an id stay only where their whole component has none.
+    """
+    groups = similar_documents(docs)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    same = F.col("doc_id").cast("long") == F.col("_kept")
+    known = docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    if groups.where("doc_id IS NULL AND component_id IS NULL").isEmpty():
+        return known
+    return known.unionByName(docs.where("doc_id IS NULL"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against each other."""
     return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
