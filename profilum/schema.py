@@ -19,7 +19,7 @@ TAIL = _struct(("tau", _d), ("lambda", _d))
 _matrix = T.ArrayType(T.ArrayType(_d))
 
 PROFILES = _struct(
-    ("source_path", _s), ("profile_index", _i), ("format_version", _s), ("name", _s), ("accession", _s), ("description", _s),
+    ("source_path", _s), ("profile_index", _l), ("format_version", _s), ("name", _s), ("accession", _s), ("description", _s),
     ("model_length", _i), ("max_length", _i), ("alphabet", _s), ("nseq", _i), ("effn", _d), ("cksum", _l),
     ("ga", CUTOFF), ("tc", CUTOFF), ("nc", CUTOFF), ("stats_msv", GUMBEL), ("stats_viterbi", GUMBEL), ("stats_forward", TAIL),
     ("compo", T.ArrayType(_d)), ("match_nlog", _matrix), ("insert_nlog", _matrix), ("trans_nlog", _matrix), ("consensus", _s), ("map", T.ArrayType(_i)),
@@ -29,7 +29,7 @@ RAW_DOMAIN = _struct(("score", _d), ("bias", _d), ("lnp", _d), ("env_from", _i),
 
 #: What a scoring kernel gives: one row for each profile and sequence that pass its filters, before any threshold of the user.
 RAW_HITS = _struct(
-    ("source_path", _s), ("record_index", _l), ("sequence_id", _s), ("profile_index", _i), ("hmm_name", _s), ("strand", _s),
+    ("source_path", _s), ("record_index", _l), ("sequence_id", _s), ("profile_index", _l), ("hmm_name", _s), ("strand", _s),
     ("seq_score", _d), ("seq_bias", _d), ("seq_lnp", _d), ("domains", T.ArrayType(RAW_DOMAIN, False)),
 )
 
