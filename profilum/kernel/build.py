@@ -121,35 +121,33 @@ def _gumbel(s: np.ndarray) -> tuple[float, float]:
     return float(-np.log(np.exp(-lam * s).mean()) / lam), float(lam)
 
 
-def weights(rows: np.ndarray, gap: int) -> np.ndarray:
-    """Position-based weights of aligned rows (symbols, ``gap`` for none), with a mean of one."""
-    w = np.zeros(len(rows))
-    for column in rows.T:
-        seen = column != gap
-        kinds, inverse, count = np.unique(column[seen], return_inverse=True, return_counts=True)
-        if len(kinds):
-            w[seen] += 1 / (len(kinds) * count[inverse])
-    w /= np.maximum((rows != gap).sum(1), 1)
-    return w * len(rows) / w.sum() if w.sum() > 0 else np.ones(len(rows))
-
-
-def from_alignment(name: str, rows: np.ndarray, inserts: np.ndarray, query: Profile, index: int = 0) -> Profile:
-    """A profile of rows aligned to the columns of ``query``: symbols, K for a deletion; inserts: residues after each column.
-
-    Counts are weighted, scaled to an effective number of sequences at which
-    the profile holds TARGET_BITS a position, and mixed with substitution
-    pseudocounts.
+def row_weights(rows: np.ndarray, counts: np.ndarray, gap: int) -> np.ndarray:
+    """Position-based weights of aligned rows (symbols, ``gap`` and above for none), from the counts of symbols in all rows' columns."""
+    kinds = (counts > 0).sum(1)
+    padded = np.concatenate([counts, np.ones((len(counts), 1))], 1)
+    seen = rows < gap
+    own = padded[np.arange(rows.shape[1]), np.minimum(rows, gap)]
+    share = np.where(seen, 1 / np.maximum(kinds * own, 1), 0)
+    return share.sum(1) / np.maximum(seen.sum(1), 1)
+
+
+def from_counts(query: Profile, counts: np.ndarray, steps: np.ndarray, weight: float, n: int) -> Profile:
+    """A profile from weighted counts of symbols and transitions in the columns of ``query``.
+
+    weight: the sum of the weights; n: how many rows.  Counts are scaled to an
+    effective number of sequences at which the profile holds TARGET_BITS a
+    position (all rows, if it never does), and mixed with substitution
+    pseudocounts; the gap parameters of single sequences are the prior of transitions.
     """
     alphabet = query.alphabet
     bg, p = background(alphabet), conditional(alphabet)
-    k, m = len(bg), query.length
-    w = weights(rows, k)
-    counts = np.stack([np.bincount(c[c < k], w[c < k], k) for c in rows.T])
+    m = query.length
+    counts, steps = counts * n / weight, steps * n / weight
 
     def mixed(scale: float) -> np.ndarray:
         c = counts * scale
         total = c.sum(1, keepdims=True)
-        f = np.where(total > 0, c / np.maximum(total, 1e-12), query.match)
+        f = np.where(total > 1e-9, c / np.maximum(total, 1e-9), query.match)
         return (c + PSEUDO * (f @ p)) / (total + PSEUDO)
 
     low, high = 0.0, 1.0
@@ -158,26 +156,12 @@ def from_alignment(name: str, rows: np.ndarray, inserts: np.ndarray, query: Prof
         for _ in range(40):
             mid = (low + high) / 2
             low, high = (mid, high) if entropy(mixed(mid)) < TARGET_BITS else (low, mid)
-    scale = high
-    trans = _transitions(m, GAP_OPEN, GAP_EXTEND) * 20.0
-    present = rows < k
-    for r in range(len(rows)):
-        for c in range(1, m):
-            a, b, inserted = present[r, c - 1], present[r, c], inserts[r, c - 1]
-            weight = w[r] * scale
-            if a and inserted:
-                trans[c, 1] += weight
-                trans[c, 4] += weight * (inserted - 1)
-                trans[c, 3] += weight
-            elif a:
-                trans[c, 0 if b else 2] += weight
-            else:
-                trans[c, 5 if b else 6] += weight
+    trans = _transitions(m, GAP_OPEN, GAP_EXTEND) * 20.0 + steps * high
     for part in (slice(0, 3), slice(3, 5), slice(5, 7)):
         trans[:, part] /= trans[:, part].sum(1, keepdims=True)
     trans[0, 5:], trans[m, 2], trans[m, 5:] = [1.0, 0.0], 0.0, [1.0, 0.0]
     trans[m, :2] /= trans[m, :2].sum()
-    return calibrate(Profile(name, alphabet, mixed(scale), np.tile(bg, (m + 1, 1)), trans, max_length=query.max_length, index=index, consensus=query.consensus))
+    return calibrate(Profile(query.name, alphabet, mixed(high), np.tile(bg, (m + 1, 1)), trans, max_length=query.max_length, index=query.index, consensus=query.consensus))
 
 
 def reach(profile: Profile, tail: float = 1e-7) -> int:
