@@ -9,7 +9,7 @@ merged cell by cell, and the cells counted at least twice reach the tasks as
 bit maps of bounded size (``MAX_CELLS``).
 
 A second pass takes the windows whose anchors are estimated repeated and
-groups them exactly, by 128-bit hashes of all their words.  Within a task a
+groups them exactly, by 96-bit hashes of all their words.  Within a task a
 window that comes again is settled there and sent on once, so a passage of
 any number of documents makes one entry a task.  A sketch that is too small
 for the corpus sends more windows to the second pass and changes no result.
@@ -141,11 +141,17 @@ def _by_text(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return doc[first], place, np.append(first, len(doc))
 
 
-def _hits(keys: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """Rows (kind 0) of texts and the places of their repeated windows."""
+def _hits(keys: np.ndarray, doc: np.ndarray, place: np.ndarray, bucket: int) -> pa.RecordBatch:
+    """Rows of texts and the places of their repeated windows, as runs (first place, how many)."""
     who, place, bounds = _by_text(doc, place)
+    fresh = np.append(True, (place[1:] != place[:-1] + 1) & (place[1:] != place[:-1])) if len(place) else np.zeros(0, bool)
+    fresh[bounds[:-1]] = True
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(place)) - 1
+    runs = np.column_stack([place[first], place[last] - place[first] + 1]).astype(np.int32)
+    cut = np.searchsorted(first, bounds)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(who), -1), pa.int32()), pa.array(keys[who, 0], pa.int64()), pa.array(keys[who, 1], pa.int64()), pa.array([place[a:b].astype(np.int32).tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())],
+        [pa.array(np.full(len(who), bucket), pa.int32()), pa.array(keys[who, 0], pa.int64()), pa.array(keys[who, 1], pa.int64()), pa.array([runs[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
         names=["bucket", "k1", "k2", "data"],
     )
 
@@ -157,11 +163,13 @@ def _settled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else np.zeros(0, np.int64)
 
 
-ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("place", "<i4"), ("many", "<i4")])
+#: A window between tasks: 96 bits of hash, its text (by number in the message), its place, and whether it is settled already.
+ENTRY = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<i4"), ("place", "<u4")])
+SETTLED = np.uint32(1 << 31)
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text_col: str = "text") -> DataFrame:
-    """k1, k2 (of a text) and starts (word numbers at which a window starts that occurs elsewhere too)."""
+    """k1, k2 (of a text) and runs (first word and how many windows start from there on) of windows that occur elsewhere too."""
     spark = docs.sparkSession
     n_bytes = _texts(docs, text_col).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # words of prose take about 6 bytes; this only sizes the sketch and the buckets
@@ -179,18 +187,23 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, te
         size = np.diff(np.append(first, len(order)))
         again = order[np.repeat(size > 1, size)]
         if len(again):
-            yield _hits(keys, doc[again], place[again])
+            yield _hits(keys, doc[again], place[again], -1 - int(a[again[0]] % X.U64(buckets)))
         one = order[first]
-        entry = np.zeros(len(one), ENTRY)
-        entry["a"], entry["b"], entry["place"], entry["many"] = a[one], b[one], place[one], size > 1
-        entry["k1"], entry["k2"] = keys[doc[one]].T
-        bucket = (a[one] % X.U64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        bucket = (a[one] % X.U64(buckets)).astype(np.int32)
+        order_ = np.argsort(bucket, kind="stable")
+        one, many, bucket = one[order_], (size > 1)[order_], bucket[order_]
+        bounds = np.searchsorted(bucket, np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(bounds))
-        entry = entry[order]
+        data = []
+        for c in full:
+            own = one[bounds[c] : bounds[c + 1]]
+            used, number = np.unique(doc[own], return_inverse=True)
+            entry = np.zeros(len(own), ENTRY)
+            entry["a"], entry["b"], entry["doc"] = a[own], b[own] >> X.U64(32), number
+            entry["place"] = place[own].astype(np.uint32) | np.where(many[bounds[c] : bounds[c + 1]], SETTLED, np.uint32(0))
+            data.append(np.int64(len(used)).tobytes() + np.ascontiguousarray(keys[used]).tobytes() + entry.tobytes())
         none = pa.array(np.zeros(len(full)), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), none, none, pa.array([entry[bounds[c] : bounds[c + 1]].tobytes() for c in full], pa.binary())], names=["bucket", "k1", "k2", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), none, none, pa.array(data, pa.binary())], names=["bucket", "k1", "k2", "data"])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows_of, held, n = maps.value, [], 0
@@ -217,40 +230,42 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, te
             yield from flush(held)
 
     def group(table: pa.Table) -> pa.Table:
-        entry = np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for x in table.column("data")])
+        if table.column("bucket")[0].as_py() < 0:
+            return table.select(["k1", "k2", "data"])
+        keys, entries, base = [], [], 0
+        for part in table.column("data"):
+            raw = part.as_buffer()
+            n = int(np.frombuffer(raw, np.int64, 1)[0])
+            entry = np.frombuffer(raw, ENTRY, offset=8 + 16 * n).copy()
+            entry["doc"] += base
+            base += n
+            keys.append(np.frombuffer(raw, np.int64, 2 * n, 8).reshape(n, 2))
+            entries.append(entry)
+        entry = np.concatenate(entries)
         order, first = _settled(entry["a"], entry["b"])
         size = np.diff(np.append(first, len(order)))
-        many = np.add.reduceat(entry["many"][order], first) > 0
-        again = entry[order[np.repeat((size > 1) | many, size)]]
-        keys, doc = np.unique(np.column_stack([again["k1"], again["k2"]]), axis=0, return_inverse=True)
-        hits = _hits(keys.reshape(-1, 2), doc.reshape(-1), again["place"])
+        settled = np.logical_or.reduceat(entry["place"][order] >= SETTLED, first)
+        again = entry[order[np.repeat((size > 1) | settled, size)]]
+        texts, number = np.unique(np.concatenate(keys), axis=0, return_inverse=True)
+        hits = _hits(texts, number.reshape(-1)[again["doc"]], (again["place"] & ~SETTLED).astype(np.int64), 0)
         return pa.Table.from_batches([hits]).select(["k1", "k2", "data"])
 
     text = F.col("text")
     entries = _texts(docs, text_col).select(text, *text_key(text)).mapInArrow(collect, "bucket int, k1 bigint, k2 bigint, data binary")
-    return _both(entries, group)
+    found = entries.groupBy("bucket").applyInArrow(group, "k1 bigint, k2 bigint, data binary")
+    return found.groupBy("k1", "k2").agg(F.collect_list("data").alias("runs"))
 
 
-def _both(entries: DataFrame, group) -> DataFrame:
-    """Windows settled in tasks, and those settled between tasks."""
-    from profilum.llm.shared import stash
-
-    entries = stash(entries, "windows")
-    between = entries.where("bucket >= 0").select("bucket", "data").groupBy("bucket").applyInArrow(group, "k1 bigint, k2 bigint, data binary")
-    within = entries.where("bucket < 0").select("k1", "k2", "data")
-    return within.unionByName(between).groupBy("k1", "k2").agg(F.collect_list("data").alias("starts"))
-
-
-def _kept(column: pa.Array, starts: pa.Array, window: int) -> tuple[np.ndarray, ...]:
+def _kept(column: pa.Array, found: pa.Array, window: int) -> tuple[np.ndarray, ...]:
     """raw, word starts, word ends, row offsets in words, and whether each word is kept."""
     raw, offsets = X.utf8(column)
     first, last, rows = X.runs(X.NOT_SPACE[raw], offsets)
     depth = np.zeros(len(first) + 1, np.int64)
-    for i, parts in enumerate(starts.to_pylist()):
+    for i, parts in enumerate(found.to_pylist()):
         for part in parts or ():
-            place = np.unique(np.frombuffer(part, np.int32)) + rows[i]
-            np.add.at(depth, place, 1)
-            np.add.at(depth, place + window, -1)
+            runs = np.frombuffer(part, np.int32).reshape(-1, 2).astype(np.int64)
+            np.add.at(depth, runs[:, 0] + rows[i], 1)
+            np.add.at(depth, runs.sum(1) + rows[i] + window - 1, -1)
     return raw, first, last, rows, np.cumsum(depth)[:-1] == 0
 
 
