@@ -38,5 +38,5 @@ def general(value: Column, digits: int = 3) -> Column:
     short = lambda text: F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+($|e)", "$1$2"), r"\.($|e)", "$1")
     fixed = F.lit(None).cast("string")
     for exponent in range(-4, digits):
-        fixed = F.when(size == exponent, short(F.format_string(f"%.{digits - 1 - exponent}f", value))).otherwise(fixed)
+        fixed = F.when(size == exponent, short(F.format_string(f"%.{max(digits - 1 - exponent, 0)}f", F.bround(value, digits - 1 - exponent)))).otherwise(fixed)
     return F.when(value.isNull(), F.lit(None)).when(F.isnan(value), "nan").when((size < -4) | (size >= digits), short(F.format_string(f"%.{digits - 1}e", value))).otherwise(fixed)
