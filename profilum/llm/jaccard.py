@@ -5,12 +5,15 @@ most H = (1 - t) / (1 + t) * (a + b) elements.  Sizes fall into bands; within
 a band the universe of shingles is hashed into m segments.  By the pigeonhole
 principle at least m - H segments of two similar sets are equal, so under any
 common order of segment values the first H + 1 values of either set share one:
-only that subset of a set's segments is indexed, the rarest first by a
-count-min sketch over all documents.  A part of the universe may instead go to
-q segments whose one-deletion neighbourhoods are indexed: if fewer than 2q
-elements differ there, a segment differs in at most one element and the
-neighbourhoods meet; otherwise at most H - 2q differ in the rest.  ``allocate``
-chooses q for each band by an estimate of cost from the corpus's sizes.
+only that subset of a set's segments is indexed, the rarest first.  How many
+sets have a value is counted exactly: values are dealt to buckets, and those
+that occur in several sets are sent back to their sets.  A set with H + 1
+values of its own is similar to no other and needs no index at all.  A part of
+the universe may instead go to q segments whose one-deletion neighbourhoods are
+indexed: if fewer than 2q elements differ there, a segment differs in at most
+one element and the neighbourhoods meet; otherwise at most H - 2q differ in the
+rest.  ``allocate`` chooses q for each band by an estimate of cost from the
+corpus's sizes.
 
 Candidates are gathered as clusters (connected components of sets that share
 an index value) and every pair in a cluster is verified exactly on the whole
@@ -37,11 +40,15 @@ from profilum.llm.shared import stash
 SHINGLE = 5
 #: The similarity threshold as a fraction.
 NUMERATOR, DENOMINATOR = 75, 100
-SKETCH_BITS = 20
 #: Elements a segment with a deletion neighbourhood has on average.
 NEIGHBOURS = 4
-#: Index entries of a bucket, shingles of a task of the verification, and bits of the filter of candidate sets.
-PER_BUCKET, PER_TASK, FILTER_BITS = 4_000_000, 1_000_000, 26
+#: Segment values of a bucket, sets of a part, shingles of a task of the verification, and bits of the filter of candidate sets.
+PER_BUCKET, PER_PART, PER_TASK, FILTER_BITS = 2_500_000, 30_000, 1_000_000, 26
+#: Bits of a packed entry below the value: its kind (2 bits) and the number of its set in the message (16 bits).
+LOW = 18
+PLAIN, EMPTY, NEAR = 0, 1, 2
+#: A set in a band: how many full segments it has, and how many values of a similar set's first ones meet its own.
+OWNER = np.dtype([("sid", "<i8"), ("band", "<i4"), ("full", "<i4"), ("need", "<i4")])
 SLICE = 8 << 20
 
 
@@ -112,31 +119,24 @@ def allocate(sizes: dict[int, int]) -> dict[int, int]:
 
 
 class Signatures:
-    """Index values of sets."""
+    """Segment values of sets."""
 
     def __init__(self, allocation: dict[int, int]) -> None:
         self.q = np.zeros(64, np.int64)
         for band, q in allocation.items():
             self.q[band] = q
 
-    def values(self, flat: np.ndarray, offsets: np.ndarray, sketch: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Owners (numbers of sets) and index values; without a sketch all segment values, to fill one with."""
+    def values(self, flat: np.ndarray, offsets: np.ndarray, digest: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Owners, and for each value the number of its owner, the value and its kind; first of all sets in their own
+        bands, then of those that may be the smaller one of a pair in the next band."""
         n = np.diff(offsets)
-        owners, values = [], []
         band = np.where(n > 0, np.frexp(np.maximum(n, 1).astype(float))[1] - 1, 0)
-        for step in (0, 1):  # in its own band, and as the smaller set in the next
-            own = (n > 0) if step == 0 else (n > 0) & (n * DENOMINATOR // NUMERATOR >= 2 << band)
-            sets = np.flatnonzero(own)
-            if not len(sets):
-                continue
-            a, b = self._band(flat, offsets, sets, band[sets] + step, sketch)
-            owners.append(a)
-            values.append(b)
-        if not owners:
-            return np.zeros(0, np.int64), np.zeros(0, X.U64)
-        return np.concatenate(owners), np.concatenate(values)
-
-    def _band(self, flat, offsets, sets, band, sketch):
+        for step in (0, 1):
+            sets = np.flatnonzero(n > 0 if step == 0 else (n > 0) & (n * DENOMINATOR // NUMERATOR >= 2 << band))
+            if len(sets):
+                yield self._band(flat, offsets, sets, band[sets] + step, digest[sets])
+
+    def _band(self, flat, offsets, sets, band, digest):
         count = np.diff(offsets)[sets]
         elements = flat[X.expand(offsets[sets], count)]
         upper = np.int64(2) << band
@@ -144,10 +144,9 @@ class Signatures:
         who = np.repeat(np.arange(len(sets)), count)
         salt = X.mix64(band.astype(X.U64) + X.U64(101))
         mixed = X.mix64(elements ^ salt[who])
-        high = mixed >> X.U64(32)
+        high, low = mixed >> X.U64(32), mixed & X.U64(0xFFFFFFFF)
         share = np.minimum(0.5, q * NEIGHBOURS / (0.72 * upper))
         apart = (high >= ((1 - share) * 2.0**32).astype(X.U64)[who]) & (q[who] > 0)
-        low = mixed & X.U64(0xFFFFFFFF)
         plain = ~apart
         base = np.cumsum(m) - m
         cell = base[who[plain]] + ((low[plain] * m[who[plain]].astype(X.U64)) >> X.U64(32)).astype(np.int64)
@@ -156,39 +155,28 @@ class Signatures:
         np.add.at(value, cell, X.mix64(elements[plain] + X.U64(7)))
         filled = np.bincount(cell, minlength=total) > 0
         owner = np.repeat(np.arange(len(sets)), m)
-        token = X.mix64(value * X.U64(0x9E3779B97F4A7C15) + salt[owner] + (np.arange(total) - base[owner]).astype(X.U64))
-        if sketch is None:
-            return sets[owner[filled]], token[filled]
-        often = np.where(filled, np.minimum(*(row[cells] for row, cells in zip(sketch, sketch_cells(token)))), np.uint32(0xFFFFFFFF))
-        # within each set: by estimated frequency, then value
-        order = np.argsort(token, kind="stable")
-        order = order[np.argsort((owner[order].astype(np.int64) << 32) | often[order], kind="stable")]
+        full = np.bincount(owner[filled], minlength=len(sets))
         need = np.maximum(allowed(count) + 1 - 2 * q, 0)
-        rank = np.arange(total) - base[owner]
-        picked = order[rank < need[owner]]
-        owners, values = [sets[owner[picked]]], [token[picked]]
-        if apart.any():
+        # empty segments only count for sets that lack full ones
+        used = filled | (full < need)[owner]
+        place = np.flatnonzero(used)
+        owner_ = owner[place]
+        token = X.mix64(value[place] * X.U64(0x9E3779B97F4A7C15) + salt[owner_] + (place - base[owner_]).astype(X.U64))
+        owners, values, kinds = [owner_], [token], [np.where(filled[place], PLAIN, EMPTY)]
+        if (q > 0).any():
             k, h = who[apart], elements[apart]
-            place = k * 4 + ((low[apart] * q[k].astype(X.U64)) >> X.U64(32)).astype(np.int64)
+            slot = k * 4 + ((low[apart] * q[k].astype(X.U64)) >> X.U64(32)).astype(np.int64)
             part = np.zeros(4 * len(sets), X.U64)
             own = X.mix64(h + X.U64(7))
-            np.add.at(part, place, own)
-        if (q > 0).any():
-            if not apart.any():
-                part = np.zeros(4 * len(sets), X.U64)
-            slot = X.expand(4 * np.arange(len(sets)), q)
+            np.add.at(part, slot, own)
+            every = X.expand(4 * np.arange(len(sets)), q)
             salted = lambda v, s: X.mix64(v * X.U64(0xC2B2AE3D27D4EB4F) + salt[s // 4] + (s % 4).astype(X.U64) + X.U64(977))
-            owners.append(sets[slot // 4])
-            values.append(salted(part[slot], slot))
-            if apart.any():
-                owners.append(sets[k])
-                values.append(salted(part[place] - own, place))
-        return np.concatenate(owners), np.concatenate(values)
-
-
-def sketch_cells(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of index values in both rows of the sketch."""
-    return (token >> X.U64(64 - SKETCH_BITS)).astype(np.int64), (X.mix64(token) >> X.U64(64 - SKETCH_BITS)).astype(np.int64)
+            owners += [every // 4, k]
+            values += [salted(part[every], every), salted(part[slot] - own, slot)]
+            kinds.append(np.full(len(every) + len(k), NEAR))
+        table = np.zeros(len(sets), OWNER)
+        table["sid"], table["band"], table["full"], table["need"] = digest, band, full, need
+        return table, np.concatenate(owners), np.concatenate(values), np.concatenate(kinds)
 
 
 def _first_seen(digest: np.ndarray, n: np.ndarray, seen: set[int]) -> np.ndarray:
@@ -206,75 +194,119 @@ def _pick(flat: np.ndarray, offsets: np.ndarray, sets: np.ndarray) -> tuple[np.n
     return flat[X.expand(offsets[sets], size)], np.concatenate([[0], np.cumsum(size)])
 
 
-def _describe(docs: DataFrame, signatures: Signatures) -> DataFrame:
-    """Rows of documents (chunk -1: doc_id, n, sid) and parts of the frequency sketch (chunk, cells)."""
+def _describe(docs: DataFrame) -> DataFrame:
+    """doc_id, n, sid of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        counts = np.zeros((2, 1 << SKETCH_BITS), np.uint32)
-        any_ = False
         for batch in X.slices(batches, limit=SLICE):
-            flat, offsets, digest = shingle_sets(batch.column(1))
-            n = np.diff(offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), -1), pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(digest), pa.nulls(len(n), pa.binary())], names=["chunk", "doc_id", "n", "sid", "cells"])
-            _, token = signatures.values(*_pick(flat, offsets, _first_seen(digest, n, seen)), None)
-            any_ |= len(token) > 0
-            for row, cell in zip(counts, sketch_cells(token)):
-                row += np.bincount(cell, minlength=1 << SKETCH_BITS).astype(np.uint32)
-        if any_:
-            parts = [np.minimum(c, 65535).astype(np.uint16).tobytes() for c in counts.reshape(16, -1)]
-            none = pa.nulls(16, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(16), pa.int32()), none, none, none, pa.array(parts, pa.binary())], names=["chunk", "doc_id", "n", "sid", "cells"])
-
-    return docs.mapInArrow(run, "chunk int, doc_id bigint, n bigint, sid bigint, cells binary")
-
-
-def _sketch(described: DataFrame) -> np.ndarray:
-    """The merged sketch: two rows of counters, a fixed size."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros((2 << SKETCH_BITS) // 16, np.uint32)
-        for part in table.column("cells"):
-            total += np.frombuffer(part.as_buffer(), np.uint16)
-        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros((16, (2 << SKETCH_BITS) // 16), np.uint32)
-    for row in described.where("chunk >= 0").select("chunk", "cells").groupBy("chunk").applyInArrow(add, "chunk int, cells binary").toLocalIterator():
-        out[row["chunk"]] = np.frombuffer(row["cells"], np.uint32)
-    return out.reshape(2, -1)
-
-
-def _candidates(docs: DataFrame, signatures: Signatures, sketch, buckets: int) -> DataFrame:
+            _, offsets, digest = shingle_sets(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(digest)], names=["doc_id", "n", "sid"])
+
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, sid bigint")
+
+
+def _messages(to: np.ndarray, table: np.ndarray, entry: np.ndarray, often: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+    """Per destination: its owners, packed entries (with the number of the owner in the low 16 bits) and counts.  entry: packed values
+    without that number, and the row of each one's owner in ``table``."""
+    value, number = entry
+    order = np.argsort(to.astype(np.int32), kind="stable")
+    to, value, number = to[order], value[order], number[order]
+    often = None if often is None else often[order]
+    bounds = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
+    for a, b in zip(bounds, np.append(bounds[1:], len(to))):
+        used, own = np.unique(number[a:b], return_inverse=True)
+        for first in range(0, len(used), 1 << 16):
+            here = slice(None) if len(used) <= 1 << 16 else (own >= first) & (own < first + (1 << 16))
+            packed = value[a:b][here] | (own[here] - first).astype(X.U64)
+            rows = table[used[first : first + (1 << 16)]]
+            tail = b"" if often is None else np.minimum(often[a:b][here], 65535).astype(np.uint16).tobytes()
+            yield int(to[a]), np.array([len(rows), len(packed)], np.int64).tobytes() + rows.tobytes() + packed.tobytes() + tail
+
+
+def _read(parts: pa.ChunkedArray, kind: np.dtype, counted: bool = False) -> tuple[np.ndarray, ...]:
+    """Owners, values (without the low bits), kinds, and counts of messages, one row an entry."""
+    owners, values, kinds, often = [], [], [], []
+    for part in parts:
+        raw = part.as_buffer()
+        rows, n = np.frombuffer(raw, np.int64, 2)
+        table = np.frombuffer(raw, kind, rows, 16)
+        at = 16 + rows * kind.itemsize
+        entry = np.frombuffer(raw, X.U64, n, at)
+        owners.append(table[(entry & X.U64(0xFFFF)).astype(np.int64)])
+        values.append(entry >> X.U64(LOW))
+        kinds.append((entry >> X.U64(16) & X.U64(3)).astype(np.int8))
+        if counted:
+            often.append(np.frombuffer(raw, np.uint16, n, at + 8 * n))
+    return np.concatenate(owners), np.concatenate(values), np.concatenate(kinds), np.concatenate(often) if counted else None
+
+
+def _table(messages: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"to": pa.array([m[0] for m in messages], pa.int32()), "data": pa.array([m[1] for m in messages], pa.binary())})
+
+
+SID = np.dtype([("sid", "<i8")])
+
+
+def _candidates(docs: DataFrame, signatures: Signatures, buckets: int, parts: int) -> DataFrame:
     """Edges a, b between sets that share an index value: each to the least of them."""
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in X.slices(batches, limit=SLICE):
             flat, offsets, digest = shingle_sets(batch.column(1))
             new = _first_seen(digest, np.diff(offsets), seen)
-            for at in range(0, len(new), 1 << 16):
-                sets = new[at : at + (1 << 16)]
-                owner, value = signatures.values(*_pick(flat, offsets, sets), sketch.value)
-                bucket = (X.mix64(value) % X.U64(buckets)).astype(np.int64)
-                order = np.argsort(bucket.astype(np.int32), kind="stable")
-                entry = ((value & X.U64(0xFFFFFFFFFFFF0000)) | owner.astype(X.U64))[order]
-                bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(bounds))
-                names = digest[sets].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([names] * len(full), pa.binary()), pa.array([entry[bounds[c] : bounds[c + 1]].tobytes() for c in full], pa.binary())], names=["bucket", "sets", "entries"])
+            for table, owner, value, kind in signatures.values(*_pick(flat, offsets, new), digest[new]):
+                packed = (value >> X.U64(LOW) << X.U64(LOW)) | (kind.astype(X.U64) << X.U64(16))
+                yield from _table(list(_messages((X.mix64(value >> X.U64(LOW)) % X.U64(buckets)).astype(np.int64), table, (packed, owner)))).to_batches()
 
-    def stars(table: pa.Table) -> pa.Table:
-        values, sids = [], []
-        for names, entries in zip(table.column("sets"), table.column("entries")):
-            entry = np.frombuffer(entries.as_buffer(), X.U64)
-            values.append(entry >> X.U64(16))
-            sids.append(np.frombuffer(names.as_buffer(), np.int64)[(entry & X.U64(0xFFFF)).astype(np.int64)])
-        value, sid = np.concatenate(values), np.concatenate(sids)
+    def count(table: pa.Table) -> pa.Table:
+        """Values that several sets have go back to their sets, with how many those are."""
+        owner, value, kind, _ = _read(table.column("data"), OWNER)
         order = np.argsort(value, kind="stable")
         value = value[order]
         same = value[1:] == value[:-1]
-        shared = np.append(same, False) | np.append(False, same)
-        value, sid = value[shared], sid[order[shared]]
+        several = np.append(same, False) | np.append(False, same)
+        order, value = order[several], value[several]
+        order_ = np.lexsort((owner["band"][order], owner["sid"][order], value))
+        order, value = order[order_], value[order_]
+        owner, kind = owner[order], kind[order]
+        if len(value):
+            new = np.append(True, (value[1:] != value[:-1]) | (owner["sid"][1:] != owner["sid"][:-1]) | (owner["band"][1:] != owner["band"][:-1]))
+            owner, kind, value = owner[new], kind[new], value[new]
+        first = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
+        often = np.repeat(np.diff(np.append(first, len(value))), np.diff(np.append(first, len(value))))
+        shared = often > 1
+        owner, kind, value, often = owner[shared], kind[shared], value[shared], often[shared]
+        used, number = np.unique(owner, return_inverse=True)
+        packed = (value << X.U64(LOW)) | (kind.astype(X.U64) << X.U64(16))
+        to = (X.mix64(np.ascontiguousarray(owner["sid"]).view(X.U64)) % X.U64(parts)).astype(np.int64)
+        return _table(list(_messages(to, used, (packed, number), often)))
+
+    def choose(table: pa.Table) -> pa.Table:
+        """The shared values among the first ones of each set, in the order of kind, count and value."""
+        owner, value, kind, often = _read(table.column("data"), OWNER, counted=True)
+        order = np.lexsort((value, often, kind, owner["band"], owner["sid"]))
+        owner, value, kind = owner[order], value[order], kind[order]
+        sid, band = owner["sid"], owner["band"]
+        first = np.flatnonzero(np.append(True, (sid[1:] != sid[:-1]) | (band[1:] != band[:-1])))
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(sid))))
+        plain, empty = (np.bincount(group[kind == k], minlength=len(first)) for k in (PLAIN, EMPTY))
+        full, need = owner["full"][first].astype(np.int64), owner["need"][first].astype(np.int64)
+        upper = np.int64(2) << band[first].astype(np.int64)
+        lacking = np.where(full < need, np.where(upper <= 32, upper, upper // 2) - full, 0)
+        take_plain = np.maximum(need - (full - plain), 0)
+        take_empty = np.maximum(need - full - (lacking - empty), 0)
+        rank = np.arange(len(sid)) - first[group]
+        taken = np.where(kind == PLAIN, rank < take_plain[group], np.where(kind == EMPTY, rank - plain[group] < take_empty[group], True))
+        sid, value = sid[taken], value[taken]
+        used, number = np.unique(sid, return_inverse=True)
+        names = np.zeros(len(used), SID)
+        names["sid"] = used
+        return _table(list(_messages((X.mix64(value) % X.U64(buckets)).astype(np.int64), names, (value << X.U64(LOW), number))))
+
+    def stars(table: pa.Table) -> pa.Table:
+        owner, value, _, _ = _read(table.column("data"), SID)
+        sid = owner["sid"]
         order = np.lexsort((sid, value))
         value, sid = value[order], sid[order]
         first = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
@@ -282,7 +314,9 @@ def _candidates(docs: DataFrame, signatures: Signatures, sketch, buckets: int) -
         pairs = np.unique(np.column_stack([sid, least])[sid != least], axis=0).reshape(-1, 2)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    return docs.mapInArrow(index, "bucket int, sets binary, entries binary").groupBy("bucket").applyInArrow(stars, "a bigint, b bigint")
+    message = "to int, data binary"
+    counted = docs.mapInArrow(values, message).groupBy("to").applyInArrow(count, message)
+    return counted.groupBy("to").applyInArrow(choose, message).groupBy("to").applyInArrow(stars, "a bigint, b bigint")
 
 
 def _filter_bits(nodes: DataFrame) -> np.ndarray:
@@ -388,14 +422,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # a shingle takes about six bytes of text; this only guides the allocation and the number of buckets
+    # a shingle takes about six bytes of text; this only guides the allocation and the numbers of buckets
     rough = texts.groupBy(F.floor(F.log2(F.greatest(F.octet_length("text") / 6, F.lit(1)))).cast("int").alias("band")).agg(F.count(F.lit(1)).alias("n")).where("band is not null").collect()
     signatures = Signatures(allocate({r["band"]: r["n"] for r in rough}))
-    entries = sum(r["n"] * 1.5 * 2 ** r["band"] for r in rough) / 2
-    described = stash(_describe(texts, signatures), "sets")
-    rows = described.where("chunk < 0").select("doc_id", "n", "sid")
-    sketch = spark.sparkContext.broadcast(_sketch(described))
-    edges = stash(_candidates(texts, signatures, sketch, max(8, int(entries // PER_BUCKET))), "candidates")
+    values = sum(r["n"] * 1.5 * 2 ** r["band"] for r in rough)
+    rows = stash(_describe(texts), "sets")
+    edges = stash(_candidates(texts, signatures, max(8, int(values // PER_BUCKET)), max(8, sum(r["n"] for r in rough) // PER_PART)), "candidates")
     found = components(edges)
     nodes = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     classes = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
