@@ -41,6 +41,8 @@ MIN_CELLS, MAX_CELLS, CELLS_PER_ANCHOR = 1 << 22, 1 << 30, 8
 CHUNK_BITS = 20
 #: Entries a task holds before it sends them, and windows of text per bucket of the exact grouping.
 HELD, PER_BUCKET = 2_000_000, 4_000_000
+#: Words of text per part of the merged runs.
+PER_PART = 40_000_000
 
 
 def _sliding(values: np.ndarray, size: int, best) -> np.ndarray:
@@ -133,27 +135,47 @@ def repeated_cells(docs: DataFrame, cells: int, window: int = WINDOW, gram: int
     return out
 
 
-def _by_text(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct documents and their sorted places, flat with offsets."""
+#: A run of repeated windows of a text: first word, and how many windows start from there on.
+RUN = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("place", "<i4"), ("count", "<i4")])
+
+
+def _runs(keys: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Runs of places of texts (rows of ``keys``)."""
     order = np.lexsort((place, doc))
     doc, place = doc[order], place[order]
-    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-    return doc[first], place, np.append(first, len(doc))
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1))) if len(doc) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(doc)) - 1
+    out = np.zeros(len(first), RUN)
+    out["k1"], out["k2"] = keys[doc[first]].T
+    out["place"], out["count"] = place[first], place[last] - place[first] + 1
+    return out
 
 
-def _hits(keys: np.ndarray, doc: np.ndarray, place: np.ndarray, bucket: int) -> pa.RecordBatch:
-    """Rows of texts and the places of their repeated windows, as runs (first place, how many)."""
-    who, place, bounds = _by_text(doc, place)
-    fresh = np.append(True, (place[1:] != place[:-1] + 1) & (place[1:] != place[:-1])) if len(place) else np.zeros(0, bool)
-    fresh[bounds[:-1]] = True
+def _dealt(runs: np.ndarray, parts: int) -> tuple[np.ndarray, list[bytes]]:
+    """Runs by the part of their text."""
+    to = (np.ascontiguousarray(runs["k1"]).view(X.U64) % X.U64(parts)).astype(np.int32)
+    order = np.argsort(to, kind="stable")
+    bounds = np.searchsorted(to[order], np.arange(parts + 1))
+    full = np.flatnonzero(np.diff(bounds))
+    return full, [runs[order[bounds[c] : bounds[c + 1]]].tobytes() for c in full]
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """One row a text, with its runs joined where they touch."""
+    runs = np.concatenate([np.frombuffer(x.as_buffer(), RUN) for x in table.column("data")])
+    runs = runs[np.lexsort((runs["place"], runs["k2"], runs["k1"]))]
+    text = np.append(True, (runs["k1"][1:] != runs["k1"][:-1]) | (runs["k2"][1:] != runs["k2"][:-1]))
+    number = np.cumsum(text) - 1
+    end = (runs["place"] + runs["count"]).astype(np.int64) + (number << 32)
+    start = runs["place"].astype(np.int64) + (number << 32)
+    reach = np.maximum.accumulate(end)
+    fresh = np.append(True, start[1:] > reach[:-1])
     first = np.flatnonzero(fresh)
-    last = np.append(first[1:], len(place)) - 1
-    runs = np.column_stack([place[first], place[last] - place[first] + 1]).astype(np.int32)
-    cut = np.searchsorted(first, bounds)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(who), bucket), pa.int32()), pa.array(keys[who, 0], pa.int64()), pa.array(keys[who, 1], pa.int64()), pa.array([runs[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
-        names=["bucket", "k1", "k2", "data"],
-    )
+    last = np.append(first[1:], len(runs)) - 1
+    joined = np.column_stack([runs["place"][first], reach[last] - start[first]]).astype(np.int32)
+    bounds = np.append(np.flatnonzero(text[first]), len(first))
+    lead = first[bounds[:-1]]
+    return pa.table({"k1": pa.array(runs["k1"][lead]), "k2": pa.array(runs["k2"][lead]), "runs": pa.array([joined[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())})
 
 
 def _settled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +197,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, te
     # words of prose take about 6 bytes; this only sizes the sketch and the buckets
     anchors = n_bytes / 6 * 2 / (window - gram + 2)
     cells = int(min(MAX_CELLS, max(MIN_CELLS, 1 << int(np.ceil(np.log2(max(1.0, anchors * CELLS_PER_ANCHOR)))))))
-    buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes / 6 // PER_BUCKET))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, parts = (int(max(tasks, n_bytes / 6 // n)) for n in (PER_BUCKET, PER_PART))
     maps: Broadcast = spark.sparkContext.broadcast(repeated_cells(docs, cells, window, gram, text_col))
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +210,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, te
         size = np.diff(np.append(first, len(order)))
         again = order[np.repeat(size > 1, size)]
         if len(again):
-            yield _hits(keys, doc[again], place[again], -1 - int(a[again[0]] % X.U64(buckets)))
+            to, data = _dealt(_runs(keys, doc[again], place[again]), parts)
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - to, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
         one = order[first]
         bucket = (a[one] % X.U64(buckets)).astype(np.int32)
         order_ = np.argsort(bucket, kind="stable")
@@ -202,8 +226,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, te
             entry["a"], entry["b"], entry["doc"] = a[own], b[own] >> X.U64(32), number
             entry["place"] = place[own].astype(np.uint32) | np.where(many[bounds[c] : bounds[c + 1]], SETTLED, np.uint32(0))
             data.append(np.int64(len(used)).tobytes() + np.ascontiguousarray(keys[used]).tobytes() + entry.tobytes())
-        none = pa.array(np.zeros(len(full)), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), none, none, pa.array(data, pa.binary())], names=["bucket", "k1", "k2", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows_of, held, n = maps.value, [], 0
@@ -230,8 +253,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, te
             yield from flush(held)
 
     def group(table: pa.Table) -> pa.Table:
-        if table.column("bucket")[0].as_py() < 0:
-            return table.select(["k1", "k2", "data"])
+        if (bucket := table.column("bucket")[0].as_py()) < 0:
+            return pa.table({"part": pa.array([-1 - bucket] * table.num_rows, pa.int32()), "data": table.column("data")})
         keys, entries, base = [], [], 0
         for part in table.column("data"):
             raw = part.as_buffer()
@@ -247,13 +270,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, te
         settled = np.logical_or.reduceat(entry["place"][order] >= SETTLED, first)
         again = entry[order[np.repeat((size > 1) | settled, size)]]
         texts, number = np.unique(np.concatenate(keys), axis=0, return_inverse=True)
-        hits = _hits(texts, number.reshape(-1)[again["doc"]], (again["place"] & ~SETTLED).astype(np.int64), 0)
-        return pa.Table.from_batches([hits]).select(["k1", "k2", "data"])
+        to, data = _dealt(_runs(texts, number.reshape(-1)[again["doc"]], (again["place"] & ~SETTLED).astype(np.int64)), parts)
+        return pa.table({"part": pa.array(to, pa.int32()), "data": pa.array(data, pa.binary())})
 
     text = F.col("text")
-    entries = _texts(docs, text_col).select(text, *text_key(text)).mapInArrow(collect, "bucket int, k1 bigint, k2 bigint, data binary")
-    found = entries.groupBy("bucket").applyInArrow(group, "k1 bigint, k2 bigint, data binary")
-    return found.groupBy("k1", "k2").agg(F.collect_list("data").alias("runs"))
+    entries = _texts(docs, text_col).select(text, *text_key(text)).mapInArrow(collect, "bucket int, data binary")
+    found = entries.groupBy("bucket").applyInArrow(group, "part int, data binary")
+    return found.groupBy("part").applyInArrow(_merged, "k1 bigint, k2 bigint, runs binary")
 
 
 def _kept(column: pa.Array, found: pa.Array, window: int) -> tuple[np.ndarray, ...]:
@@ -261,9 +284,9 @@ def _kept(column: pa.Array, found: pa.Array, window: int) -> tuple[np.ndarray, .
     raw, offsets = X.utf8(column)
     first, last, rows = X.runs(X.NOT_SPACE[raw], offsets)
     depth = np.zeros(len(first) + 1, np.int64)
-    for i, parts in enumerate(found.to_pylist()):
-        for part in parts or ():
-            runs = np.frombuffer(part, np.int32).reshape(-1, 2).astype(np.int64)
+    for i, packed in enumerate(found.to_pylist()):
+        if packed:
+            runs = np.frombuffer(packed, np.int32).reshape(-1, 2).astype(np.int64)
             np.add.at(depth, runs[:, 0] + rows[i], 1)
             np.add.at(depth, runs.sum(1) + rows[i] + window - 1, -1)
     return raw, first, last, rows, np.cumsum(depth)[:-1] == 0
