@@ -90,7 +90,7 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 def text_key(text: Column) -> list[Column]:
     """128 bits of a text, as two numbers."""
-    return [F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2")]
+    return [F.xxhash64(text), F.xxhash64(text, F.lit(1))]
 
 
 def repeated_cells(docs: DataFrame, cells: int, window: int = WINDOW, gram: int = GRAM, text_col: str = "text") -> list[np.ndarray]:
@@ -274,7 +274,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, te
         return pa.table({"part": pa.array(to, pa.int32()), "data": pa.array(data, pa.binary())})
 
     text = F.col("text")
-    entries = _texts(docs, text_col).select(text, *text_key(text)).mapInArrow(collect, "bucket int, data binary")
+    entries = _texts(docs, text_col).select(text, *(k.alias(n) for k, n in zip(text_key(text), ("k1", "k2")))).mapInArrow(collect, "bucket int, data binary")
     found = entries.groupBy("bucket").applyInArrow(group, "part int, data binary")
     return found.groupBy("part").applyInArrow(_merged, "k1 bigint, k2 bigint, runs binary")
 
@@ -304,10 +304,11 @@ def _joined(raw: np.ndarray, first: np.ndarray, last: np.ndarray, rows: np.ndarr
     return out.tobytes(), np.column_stack([at[:-1], np.maximum(at[1:] - 1, at[:-1])])
 
 
-def _with_starts(docs: DataFrame, window: int, gram: int, text_col: str) -> DataFrame:
-    found = repeated_windows(docs, window, gram, text_col)
-    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), text_key(F.col(text_col).cast("string")))))
-    return keyed.join(found, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").drop("_k1", "_k2", "k1", "k2")
+def _with_runs(docs: DataFrame, window: int, gram: int, text_col: str) -> DataFrame:
+    """The rows with all their columns, and last the runs of their texts."""
+    found = repeated_windows(docs, window, gram, text_col).toDF("_text_k1", "_text_k2", "_text_runs")
+    keys = text_key(F.col(text_col).cast("string"))
+    return docs.join(found, (keys[0] == F.col("_text_k1")) & (keys[1] == F.col("_text_k2")), "left").drop("_text_k1", "_text_k2")
 
 
 def dedup_digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,7 +325,7 @@ def dedup_digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
             )
 
     small = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _with_starts(small, window, gram, "text").mapInArrow(digest, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return _with_runs(small, window, gram, "text").mapInArrow(digest, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text_col: str = "text") -> DataFrame:
@@ -342,7 +343,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     marked = docs.withColumn(text_col, F.col(text_col).cast("string")) if dict(docs.dtypes)[text_col] != "string" else docs
-    return _with_starts(marked, window, gram, text_col).mapInArrow(cut, marked.schema)
+    return _with_runs(marked, window, gram, text_col).mapInArrow(cut, marked.schema)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

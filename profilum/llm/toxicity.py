@@ -79,8 +79,11 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.n
     n, m = votes.shape
     kinds = np.stack([votes == v for v in (1, -1, 0)], 1).astype(np.float32)  # row, vote, voter
     said = votes.astype(np.int64)
-    q = np.where((said > 0).sum(1) > (said < 0).sum(1), 0.9, 0.1)
-    share = np.ones(m)
+    # voters that nearly repeat each other count as one from the start
+    centred = said - said.mean(0)
+    spread = np.sqrt((centred**2).sum(0)) + 1e-9
+    share = 1 / np.maximum((np.abs(centred.T @ centred) / np.outer(spread, spread) > 0.9).sum(1), 1)
+    q = np.where((said > 0) @ share > (said < 0) @ share, 0.9, 0.1)
     rates = np.zeros((m, 3, 2))
     for step in range(rounds):
         for y, weight in enumerate((1 - q, q)):
