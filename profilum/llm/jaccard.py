@@ -205,108 +205,106 @@ def _describe(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n bigint, sid bigint")
 
 
-def _messages(to: np.ndarray, table: np.ndarray, entry: np.ndarray, often: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
-    """Per destination: its owners, packed entries (with the number of the owner in the low 16 bits) and counts.  entry: packed values
-    without that number, and the row of each one's owner in ``table``."""
-    value, number = entry
+def _dealt(to: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The columns of each destination."""
     order = np.argsort(to.astype(np.int32), kind="stable")
-    to, value, number = to[order], value[order], number[order]
-    often = None if often is None else often[order]
+    to = to[order]
     bounds = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
+    columns = [c[order] for c in columns]
     for a, b in zip(bounds, np.append(bounds[1:], len(to))):
-        used, own = np.unique(number[a:b], return_inverse=True)
-        for first in range(0, len(used), 1 << 16):
-            here = slice(None) if len(used) <= 1 << 16 else (own >= first) & (own < first + (1 << 16))
-            packed = value[a:b][here] | (own[here] - first).astype(X.U64)
-            rows = table[used[first : first + (1 << 16)]]
-            tail = b"" if often is None else np.minimum(often[a:b][here], 65535).astype(np.uint16).tobytes()
-            yield int(to[a]), np.array([len(rows), len(packed)], np.int64).tobytes() + rows.tobytes() + packed.tobytes() + tail
-
-
-def _read(parts: pa.ChunkedArray, kind: np.dtype, counted: bool = False) -> tuple[np.ndarray, ...]:
-    """Owners, values (without the low bits), kinds, and counts of messages, one row an entry."""
-    owners, values, kinds, often = [], [], [], []
-    for part in parts:
-        raw = part.as_buffer()
-        rows, n = np.frombuffer(raw, np.int64, 2)
-        table = np.frombuffer(raw, kind, rows, 16)
-        at = 16 + rows * kind.itemsize
-        entry = np.frombuffer(raw, X.U64, n, at)
-        owners.append(table[(entry & X.U64(0xFFFF)).astype(np.int64)])
-        values.append(entry >> X.U64(LOW))
-        kinds.append((entry >> X.U64(16) & X.U64(3)).astype(np.int8))
-        if counted:
-            often.append(np.frombuffer(raw, np.uint16, n, at + 8 * n))
-    return np.concatenate(owners), np.concatenate(values), np.concatenate(kinds), np.concatenate(often) if counted else None
+        yield int(to[a]), [c[a:b] for c in columns]
+
+
+def _table(messages: list[tuple[int, int, bytes]]) -> pa.Table:
+    """Messages: where to, the slice of the corpus they are about, and what they say."""
+    return pa.table({"to": pa.array([m[0] for m in messages], pa.int32()), "slice": pa.array([m[1] for m in messages], pa.int64()), "data": pa.array([m[2] for m in messages], pa.binary())})
 
 
-def _table(messages: list[tuple[int, bytes]]) -> pa.Table:
-    return pa.table({"to": pa.array([m[0] for m in messages], pa.int32()), "data": pa.array([m[1] for m in messages], pa.binary())})
+def _part(slice_: int | np.ndarray, parts: int):
+    return (X.mix64(np.atleast_1d(np.asarray(slice_, np.int64)).view(X.U64)) % X.U64(parts)).astype(np.int64)
 
 
-SID = np.dtype([("sid", "<i8")])
+def _read(table: pa.Table, counted: bool) -> tuple[np.ndarray, ...]:
+    """Packed entries, the number of the slice of each, the slices, and counts."""
+    slices, number = np.unique(table.column("slice").to_numpy(), return_inverse=True)
+    entries, often = [], []
+    for part in table.column("data"):
+        raw = part.as_buffer()
+        n = raw.size // (10 if counted else 8)
+        entries.append(np.frombuffer(raw, X.U64, n))
+        if counted:
+            often.append(np.frombuffer(raw, np.uint16, n, 8 * n))
+    which = np.repeat(number, [len(e) for e in entries])
+    return np.concatenate(entries) if entries else np.zeros(0, X.U64), which, slices, np.concatenate(often) if often else np.zeros(0, np.uint16)
 
 
 def _candidates(docs: DataFrame, signatures: Signatures, buckets: int, parts: int) -> DataFrame:
-    """Edges a, b between sets that share an index value: each to the least of them."""
+    """Edges a, b between sets that share an index value: each to the least of them.
+
+    A set is known by its slice (some sets of one task, named by a hash of
+    them) and its number there, so an entry takes eight bytes; what is known
+    of the sets of a slice is sent once.
+    """
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in X.slices(batches, limit=SLICE):
             flat, offsets, digest = shingle_sets(batch.column(1))
             new = _first_seen(digest, np.diff(offsets), seen)
-            for table, owner, value, kind in signatures.values(*_pick(flat, offsets, new), digest[new]):
-                packed = (value >> X.U64(LOW) << X.U64(LOW)) | (kind.astype(X.U64) << X.U64(16))
-                yield from _table(list(_messages((X.mix64(value >> X.U64(LOW)) % X.U64(buckets)).astype(np.int64), table, (packed, owner)))).to_batches()
+            for at in range(0, len(new), 1 << 16):
+                own = new[at : at + (1 << 16)]
+                for step, (table, owner, value, kind) in enumerate(signatures.values(*_pick(flat, offsets, own), digest[own])):
+                    name = int(X.mix64(np.array([X.mix64(table["sid"].astype(np.int64).view(X.U64)).sum() + X.U64(step)], X.U64)).view(np.int64)[0])
+                    packed = (value >> X.U64(LOW) << X.U64(LOW)) | (kind.astype(X.U64) << X.U64(16)) | owner.astype(X.U64)
+                    to = (X.mix64(value >> X.U64(LOW)) % X.U64(buckets)).astype(np.int64)
+                    told = [(bucket, name, e.tobytes()) for bucket, (e,) in _dealt(to, packed)]
+                    told.append((-1 - int(_part(name, parts)[0]), name, table.tobytes()))
+                    yield from _table(told).to_batches()
 
     def count(table: pa.Table) -> pa.Table:
         """Values that several sets have go back to their sets, with how many those are."""
-        owner, value, kind, _ = _read(table.column("data"), OWNER)
-        order = np.argsort(value, kind="stable")
-        value = value[order]
-        same = value[1:] == value[:-1]
-        several = np.append(same, False) | np.append(False, same)
-        order, value = order[several], value[several]
-        order_ = np.lexsort((owner["band"][order], owner["sid"][order], value))
-        order, value = order[order_], value[order_]
-        owner, kind = owner[order], kind[order]
-        if len(value):
-            new = np.append(True, (value[1:] != value[:-1]) | (owner["sid"][1:] != owner["sid"][:-1]) | (owner["band"][1:] != owner["band"][:-1]))
-            owner, kind, value = owner[new], kind[new], value[new]
+        if (to := table.column("to")[0].as_py()) < 0:
+            return _table([(to, s, d) for s, d in zip(table.column("slice").to_pylist(), table.column("data").to_pylist())])
+        entry, which, slices, _ = _read(table, False)
+        order = np.argsort(entry, kind="stable")
+        entry, which = entry[order], which[order]
+        value = entry >> X.U64(LOW)
         first = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
-        often = np.repeat(np.diff(np.append(first, len(value))), np.diff(np.append(first, len(value))))
-        shared = often > 1
-        owner, kind, value, often = owner[shared], kind[shared], value[shared], often[shared]
-        used, number = np.unique(owner, return_inverse=True)
-        packed = (value << X.U64(LOW)) | (kind.astype(X.U64) << X.U64(16))
-        to = (X.mix64(np.ascontiguousarray(owner["sid"]).view(X.U64)) % X.U64(parts)).astype(np.int64)
-        return _table(list(_messages(to, used, (packed, number), often)))
+        size = np.diff(np.append(first, len(value)))
+        shared = np.repeat(size > 1, size)
+        often = np.minimum(np.repeat(size, size)[shared], 65535).astype(np.uint16)
+        return _table([(int(_part(slices[w[0]], parts)[0]), int(slices[w[0]]), e.tobytes() + n.tobytes()) for _, (e, n, w) in _dealt(which[shared], entry[shared], often, which[shared])])
 
     def choose(table: pa.Table) -> pa.Table:
         """The shared values among the first ones of each set, in the order of kind, count and value."""
-        owner, value, kind, often = _read(table.column("data"), OWNER, counted=True)
-        order = np.lexsort((value, often, kind, owner["band"], owner["sid"]))
-        owner, value, kind = owner[order], value[order], kind[order]
-        sid, band = owner["sid"], owner["band"]
-        first = np.flatnonzero(np.append(True, (sid[1:] != sid[:-1]) | (band[1:] != band[:-1])))
-        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(sid))))
+        is_table = table.column("to").to_numpy() < 0
+        tables = dict(zip(table.filter(pa.array(is_table)).column("slice").to_pylist(), table.filter(pa.array(is_table)).column("data").to_pylist()))
+        entry, which, slices, often = _read(table.filter(pa.array(~is_table)), True)
+        rows = [np.frombuffer(tables[s], OWNER) for s in slices.tolist()]
+        base = np.cumsum([0] + [len(r) for r in rows])
+        owner = np.concatenate([np.zeros(0, OWNER), *rows])
+        set_ = base[which] + (entry & X.U64(0xFFFF)).astype(np.int64)
+        value, kind = entry >> X.U64(LOW), (entry >> X.U64(16) & X.U64(3)).astype(np.int8)
+        order = np.lexsort((value, often, kind, set_))
+        set_, value, kind = set_[order], value[order], kind[order]
+        first = np.flatnonzero(np.append(True, set_[1:] != set_[:-1])) if len(set_) else np.zeros(0, np.int64)
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(set_))))
         plain, empty = (np.bincount(group[kind == k], minlength=len(first)) for k in (PLAIN, EMPTY))
-        full, need = owner["full"][first].astype(np.int64), owner["need"][first].astype(np.int64)
-        upper = np.int64(2) << band[first].astype(np.int64)
+        lead = owner[set_[first]]
+        full, need = lead["full"].astype(np.int64), lead["need"].astype(np.int64)
+        upper = np.int64(2) << lead["band"].astype(np.int64)
         lacking = np.where(full < need, np.where(upper <= 32, upper, upper // 2) - full, 0)
         take_plain = np.maximum(need - (full - plain), 0)
         take_empty = np.maximum(need - full - (lacking - empty), 0)
-        rank = np.arange(len(sid)) - first[group]
+        rank = np.arange(len(set_)) - first[group]
         taken = np.where(kind == PLAIN, rank < take_plain[group], np.where(kind == EMPTY, rank - plain[group] < take_empty[group], True))
-        sid, value = sid[taken], value[taken]
-        used, number = np.unique(sid, return_inverse=True)
-        names = np.zeros(len(used), SID)
-        names["sid"] = used
-        return _table(list(_messages((X.mix64(value) % X.U64(buckets)).astype(np.int64), names, (value << X.U64(LOW), number))))
+        sid, value = owner["sid"][set_[taken]], value[taken]
+        return _table([(bucket, 0, v.tobytes() + d.tobytes()) for bucket, (v, d) in _dealt((X.mix64(value) % X.U64(buckets)).astype(np.int64), value, sid)])
 
     def stars(table: pa.Table) -> pa.Table:
-        owner, value, _, _ = _read(table.column("data"), SID)
-        sid = owner["sid"]
+        raw = [x.as_buffer() for x in table.column("data")]
+        value = np.concatenate([np.frombuffer(r, X.U64, r.size // 16) for r in raw])
+        sid = np.concatenate([np.frombuffer(r, np.int64, r.size // 16, r.size // 2) for r in raw])
         order = np.lexsort((sid, value))
         value, sid = value[order], sid[order]
         first = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
@@ -314,9 +312,11 @@ def _candidates(docs: DataFrame, signatures: Signatures, buckets: int, parts: in
         pairs = np.unique(np.column_stack([sid, least])[sid != least], axis=0).reshape(-1, 2)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    message = "to int, data binary"
+    message = "to int, slice bigint, data binary"
     counted = docs.mapInArrow(values, message).groupBy("to").applyInArrow(count, message)
-    return counted.groupBy("to").applyInArrow(choose, message).groupBy("to").applyInArrow(stars, "a bigint, b bigint")
+    part = F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to"))
+    chosen = counted.withColumn("part", part).groupBy("part").applyInArrow(lambda t: choose(t.drop_columns(["part"])), message)
+    return chosen.groupBy("to").applyInArrow(stars, "a bigint, b bigint")
 
 
 def _filter_bits(nodes: DataFrame) -> np.ndarray:
