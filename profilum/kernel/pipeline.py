@@ -28,11 +28,11 @@ class Hit:
 
 
 def gumbel_p(score: np.ndarray, mu: float, lam: float) -> np.ndarray:
-    return -np.expm1(-np.exp(-lam * (score - mu)))
+    return -np.expm1(-np.exp(np.minimum(-lam * (score - mu), 700.0)))
 
 
 def tail_p(score: np.ndarray, tau: float, lam: float) -> np.ndarray:
-    return np.minimum(1.0, np.exp(-lam * (score - tau)))
+    return np.exp(np.minimum(-lam * (score - tau), 0.0))
 
 
 def search_batch(model: Model, codes: list[np.ndarray], bias_filter: bool = True) -> list[Hit]:

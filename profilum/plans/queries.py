@@ -305,16 +305,22 @@ def inject_thresholds(spark, sf_dir):
 # ------------------------------------------------------------------ kernel
 
 
-def _kernel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Benchmark items as calibrated profiles, packed once, and documents that have residues."""
+def targets(spark: SparkSession, sf_dir: str, alphabet: str = "amino") -> DataFrame:
+    """Benchmark items as sequences of five files: the kernel's queries compare all items with all."""
+    rows = queries_of(profiles(spark, sf_dir, alphabet))
+    return rows.withColumn("source_path", F.concat(F.lit("file"), F.col("record_index") % 5))
+
+
+def _kernel(spark: SparkSession, sf_dir: str, alphabet: str = "amino") -> tuple[DataFrame, DataFrame]:
+    """Items as calibrated profiles, packed once, and items as targets."""
     from profilum.plans.search import _kept
 
-    return _kept(S.pack_sequences(queries_of(profiles(spark, sf_dir)))), sequences(spark, sf_dir).where("length > 0")
+    return _kept(S.pack_sequences(queries_of(profiles(spark, sf_dir, alphabet)), alphabet)), targets(spark, sf_dir, alphabet)
 
 
 @query("search_full")
 def search_full(spark, sf_dir):
-    """Profiles against documents through the whole cascade, spaces by file."""
+    """Profiles against sequences through the whole cascade, spaces by file."""
     packed, seqs = _kernel(spark, sf_dir)
     found = H.with_space(S.score(seqs, packed), H.space_by_file(seqs))
     return H.flat(H.nested(H.thresholded(found, profiles(spark, sf_dir), ThresholdOptions(), ["profile_index", "source_path"])))
@@ -331,7 +337,7 @@ def scan_full(spark, sf_dir):
 def phmmer_full(spark, sf_dir):
     from profilum.plans.search import phmmer
 
-    seqs = sequences(spark, sf_dir).where("length > 0").withColumn("source_path", F.lit("documents"))
+    seqs = queries_of(profiles(spark, sf_dir))
     return phmmer(spark, queries_of(profiles(spark, sf_dir)), seqs).df
 
 
@@ -339,18 +345,14 @@ def phmmer_full(spark, sf_dir):
 def jackhmmer_full(spark, sf_dir):
     from profilum.plans.search import jackhmmer
 
-    seqs = sequences(spark, sf_dir).where("length > 0").withColumn("source_path", F.lit("documents"))
+    seqs = queries_of(profiles(spark, sf_dir))
     return jackhmmer(spark, queries_of(profiles(spark, sf_dir)), seqs, max_iterations=2).df
 
 
 @query("nhmmer_full")
 def nhmmer_full(spark, sf_dir):
-    """Nucleotide letters of documents, both strands, against profiles of the benchmark's."""
-    from profilum.plans.search import _kept
-
-    seqs = sequences(spark, sf_dir, "dna").where("length > 0")
-    items = profiles(spark, sf_dir, "dna")
-    packed = _kept(S.pack_sequences(queries_of(items), "dna"))
+    """Nucleotide letters of items against both strands of each other's."""
+    packed, seqs = _kernel(spark, sf_dir, "dna")
     space = seqs.groupBy("source_path").agg((2 * F.sum("length")).alias("_residues"))
     found = S.score_nucleotides(seqs, packed).join(space, "source_path").withColumn("z", F.col("_residues") / F.col("reach"))
-    return H.flat(H.nested(H.thresholded(found, items, ThresholdOptions(), ["profile_index", "source_path"])))
+    return H.flat(H.nested(H.thresholded(found, profiles(spark, sf_dir, "dna"), ThresholdOptions(), ["profile_index", "source_path"])))
