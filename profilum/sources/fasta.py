@@ -79,9 +79,11 @@ def read_sequences(spark: SparkSession, source: str | list[str] | DataFrame, mol
 
 def _records(spark: SparkSession, paths: list[str], alphabet: str) -> DataFrame:
     raw = spark.read.option("lineSep", "\n>").text(paths).select("value", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("at"))
+    # a column of its own: inside an expression that may be cut short, the counter would not count every row
+    raw = raw.withColumn("row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     header = F.regexp_extract("value", r"^>?([^\r\n]*)", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    row = F.col("row")
     parsed = raw.select(
         "source_path",
         (F.shiftleft("at", 20) + row).alias("record_index"),
