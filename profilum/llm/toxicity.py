@@ -140,15 +140,28 @@ class Model:
         return np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 9)
 
 
-def strength(flat: np.ndarray, value: np.ndarray, label: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Feature occurrences worked on at once while fitting, and partitions of the sample.
+PIECE, FIT_PARTS = 1 << 20, 16
+
+
+def strength(flat: np.ndarray, value: np.ndarray, offsets: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each hashed feature: Welch's t of its density in toxic against clean documents, and in how many of either it occurs."""
-    size, toxic = 1 << BITS, label[row] == 1
-    seen = [np.bincount(flat[m], minlength=size) for m in (toxic, ~toxic)]
-    n = [max(int((label == y).sum()), 1) for y in (1, 0)]
-    mean = [np.bincount(flat[m], value[m], size) / k for m, k in zip((toxic, ~toxic), n)]
-    square = [np.bincount(flat[m], value[m] ** 2, size) / k for m, k in zip((toxic, ~toxic), n)]
-    spread = sum((s - a * a + 1.0 / k) / k for s, a, k in zip(square, mean, n))
-    return (mean[0] - mean[1]) / np.sqrt(spread), seen[0], seen[1]
+    size = 1 << BITS
+    seen, mean, square = (np.zeros((2, size)) for _ in range(3))
+    toxic = np.repeat(label == 1, np.diff(offsets))
+    for at in range(0, len(flat), PIECE):
+        f, v, m = flat[at : at + PIECE], value[at : at + PIECE], toxic[at : at + PIECE]
+        for y in (0, 1):
+            own = m == y
+            seen[y] += np.bincount(f[own], minlength=size)
+            mean[y] += np.bincount(f[own], v[own], size)
+            square[y] += np.bincount(f[own], v[own] ** 2, size)
+    spread = np.zeros(size)
+    for y in (0, 1):
+        n = max(int((label == y).sum()), 1)
+        mean[y] /= n
+        spread += (square[y] / n - mean[y] ** 2 + 1.0 / n) / n
+    return (mean[1] - mean[0]) / np.sqrt(spread), seen[1], seen[0]
 
 
 def fit(flat: np.ndarray, value: np.ndarray, offsets: np.ndarray, extra: np.ndarray, label: np.ndarray) -> Model:
@@ -156,12 +169,20 @@ def fit(flat: np.ndarray, value: np.ndarray, offsets: np.ndarray, extra: np.ndar
     n = len(label)
     if n == 0 or label.min() == label.max():
         return Model(np.zeros(1 << BITS), 0.0, float(label.mean()) if n else 0.0)
-    row = X.row_of(offsets)
     prior = float(label.mean())
-    t, in_toxic, in_clean = strength(flat, value, label, row)
+    t, in_toxic, in_clean = strength(flat, value, offsets, label)
     order = np.argsort(-np.where(in_toxic >= min(SUPPORT, max(1, int(label.sum()) // 4)), t, 0), kind="stable")
     lexicon = order[: VOTERS * 2]
     lexicon = lexicon[t[lexicon] > 1.5]
+    worth = np.abs(t) * ((in_toxic + in_clean) >= SUPPORT)
+    chosen = np.argsort(-worth, kind="stable")[:FEATURES]
+    chosen = chosen[worth[chosen] > 1]
+    # only occurrences of these features matter from here on
+    wanted = np.zeros(1 << BITS, bool)
+    wanted[lexicon] = wanted[chosen] = True
+    kept = wanted[flat]
+    flat, value, offsets = flat[kept], value[kept], np.concatenate([[0], np.cumsum(kept)])[offsets]
+    row = X.row_of(offsets)
     number = np.full(1 << BITS, -1)
     number[lexicon] = np.arange(len(lexicon))
     hit = np.flatnonzero(number[flat] >= 0)
@@ -191,9 +212,6 @@ def fit(flat: np.ndarray, value: np.ndarray, offsets: np.ndarray, extra: np.ndar
         side = 1 if high.any() and label[high].mean() > 3 * prior else -1 if high.any() and label[high].mean() < prior / 3 else 0
         votes[high, base + 3 + k] = side
     posterior, _ = label_model(votes, prior)
-    worth = np.abs(t) * ((in_toxic + in_clean) >= SUPPORT)
-    chosen = np.argsort(-worth, kind="stable")[:FEATURES]
-    chosen = chosen[worth[chosen] > 1]
     number[:] = -1
     number[chosen] = np.arange(len(chosen))
     keep = number[flat] >= 0
@@ -205,24 +223,35 @@ def fit(flat: np.ndarray, value: np.ndarray, offsets: np.ndarray, extra: np.ndar
 
 
 def fit_sample(sample: DataFrame) -> Model:
-    """Fits on the rows of ``labelled_sample``."""
+    """Fits on the rows of ``labelled_sample``; they come to the driver as features, in the order of partitions."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in X.slices(batches):
             flat, value, offsets = features(batch.column(1))
             extra = patterns(batch.column(1))
-            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x) for x in (pa.array(flat, pa.int32()), pa.array(value, pa.float32()))]
-            lists.append(pa.ListArray.from_arrays(pa.array(np.arange(0, extra.size + 1, 3), pa.int32()), pa.array(extra.reshape(-1))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), *lists], names=["doc_id", "label", "features", "densities", "extra"])
-
-    schema = "doc_id bigint, label int, features array<int>, densities array<float>, extra array<double>"
-    got = sample.mapInArrow(extract, schema).toArrow().sort_by("doc_id").combine_chunks()
-    if not got.num_rows:
-        return fit(np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64), np.zeros((0, 3)), np.zeros(0))
-    got = got.to_batches()[0]
-    offsets = got.column(2).offsets.to_numpy().astype(np.int64)
-    flat, value = (got.column(k).values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]] for k in (2, 3))
-    return fit(flat, value, offsets - offsets[0], np.array(got.column(4).to_pylist(), np.float64).reshape(-1, 3), got.column(1).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(2).cast(pa.int32()),
+                    pa.array(np.diff(offsets), pa.int32()),
+                    pa.array([flat[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary()),
+                    pa.array([value[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary()),
+                    pa.array([e.tobytes() for e in extra], pa.binary()),
+                ],
+                names=["label", "n", "features", "densities", "extra"],
+            )
+
+    labels, sizes, flats, values, extras = [], [], [], [], []
+    # the few sampled texts are brought together first: an iterator takes one partition after another
+    near = sample.repartition(FIT_PARTS, "doc_id").sortWithinPartitions("doc_id")
+    for r in near.mapInArrow(extract, "label int, n int, features binary, densities binary, extra binary").toLocalIterator(prefetchPartitions=True):
+        labels.append(r["label"])
+        sizes.append(r["n"])
+        flats.append(np.frombuffer(r["features"], np.int32))
+        values.append(np.frombuffer(r["densities"], np.float32))
+        extras.append(np.frombuffer(r["extra"]))
+    flat, value = np.concatenate([np.zeros(0, np.int32), *flats]), np.concatenate([np.zeros(0, np.float32), *values])
+    del flats, values
+    return fit(flat, value, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), np.array(extras).reshape(-1, 3), np.array(labels, np.int64))
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
