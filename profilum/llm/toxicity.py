@@ -78,12 +78,12 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.n
     """
     n, m = votes.shape
     kinds = np.stack([votes == v for v in (1, -1, 0)], 1).astype(np.float32)  # row, vote, voter
-    said = votes.astype(np.int64)
     # voters that nearly repeat each other count as one from the start
-    centred = said - said.mean(0)
+    centred = votes.astype(np.float32) - votes.mean(0).astype(np.float32)
     spread = np.sqrt((centred**2).sum(0)) + 1e-9
     share = 1 / np.maximum((np.abs(centred.T @ centred) / np.outer(spread, spread) > 0.9).sum(1), 1)
-    q = np.where((said > 0) @ share > (said < 0) @ share, 0.9, 0.1)
+    q = np.where((votes > 0) @ share > (votes < 0) @ share, 0.9, 0.1)
+    del centred
     rates = np.zeros((m, 3, 2))
     for step in range(rounds):
         for y, weight in enumerate((1 - q, q)):
@@ -92,7 +92,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.n
         if step % 10 == 5:
             mass = np.zeros((m, m))
             for weight in (1 - q, q):
-                centred = (votes - np.average(votes, axis=0, weights=weight + 1e-9)) * np.sqrt(weight)[:, None]
+                centred = (votes - np.average(votes, axis=0, weights=weight + 1e-9).astype(np.float32)) * np.sqrt(weight).astype(np.float32)[:, None]
                 spread = np.sqrt((centred**2).sum(0)) + 1e-9
                 mass = np.maximum(mass, np.abs(centred.T @ centred) / np.outer(spread, spread) * (np.abs(votes) > 0).any(0))
             np.fill_diagonal(mass, 1)
@@ -144,44 +144,58 @@ class Model:
 PIECE, FIT_PARTS = 1 << 20, 16
 
 
-def strength(flat: np.ndarray, value: np.ndarray, offsets: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each hashed feature: Welch's t of its density in toxic against clean documents, and in how many of either it occurs."""
-    size = 1 << BITS
-    seen, mean, square = (np.zeros((2, size)) for _ in range(3))
-    toxic = np.repeat(label == 1, np.diff(offsets))
-    for at in range(0, len(flat), PIECE):
-        f, v, m = flat[at : at + PIECE], value[at : at + PIECE], toxic[at : at + PIECE]
+class Strength:
+    """Sums over a stream of texts from which Welch's t of each feature's density in toxic against clean documents follows."""
+
+    def __init__(self) -> None:
+        self.seen, self.mean, self.square = (np.zeros((2, 1 << BITS)) for _ in range(3))
+        self.n = [0, 0]
+        self.held: list[tuple[np.ndarray, np.ndarray, int]] = []
+        self.size = 0
+
+    def add(self, flat: np.ndarray, value: np.ndarray, label: int) -> None:
+        self.n[label] += 1
+        self.held.append((flat, value, label))
+        self.size += len(flat)
+        if self.size > PIECE:
+            self.flush()
+
+    def flush(self) -> None:
         for y in (0, 1):
-            own = m == y
-            seen[y] += np.bincount(f[own], minlength=size)
-            mean[y] += np.bincount(f[own], v[own], size)
-            square[y] += np.bincount(f[own], v[own] ** 2, size)
-    spread = np.zeros(size)
-    for y in (0, 1):
-        n = max(int((label == y).sum()), 1)
-        mean[y] /= n
-        spread += (square[y] / n - mean[y] ** 2 + 1.0 / n) / n
-    return (mean[1] - mean[0]) / np.sqrt(spread), seen[1], seen[0]
-
-
-def fit(flat: np.ndarray, value: np.ndarray, offsets: np.ndarray, extra: np.ndarray, label: np.ndarray) -> Model:
-    """The classifier of a labelled sample: its features with densities, patterns and labels."""
+            own = [h for h in self.held if h[2] == y]
+            if own:
+                f, v = np.concatenate([h[0] for h in own]), np.concatenate([h[1] for h in own])
+                for total, w in ((self.seen, None), (self.mean, v), (self.square, v**2)):
+                    total[y] += np.bincount(f, w, 1 << BITS)
+        self.held, self.size = [], 0
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """t of each feature, and in how many toxic and clean documents it occurs."""
+        self.flush()
+        spread = np.zeros(1 << BITS)
+        mean = [m / max(n, 1) for m, n in zip(self.mean, self.n)]
+        for y in (0, 1):
+            n = max(self.n[y], 1)
+            spread += (self.square[y] / n - mean[y] ** 2 + 1.0 / n) / n
+        return (mean[1] - mean[0]) / np.sqrt(spread), self.seen[1], self.seen[0]
+
+
+def choose_features(told: Strength) -> tuple[np.ndarray, np.ndarray]:
+    """The lexicon's candidates, and the features of the classifier."""
+    t, in_toxic, in_clean = told.result()
+    order = np.argsort(-np.where(in_toxic >= min(SUPPORT, max(1, told.n[1] // 4)), t, 0), kind="stable")
+    lexicon = order[: VOTERS * 2]
+    worth = np.abs(t) * ((in_toxic + in_clean) >= SUPPORT)
+    chosen = np.argsort(-worth, kind="stable")[:FEATURES]
+    return lexicon[t[lexicon] > 1.5], chosen[worth[chosen] > 1]
+
+
+def fit(flat: np.ndarray, value: np.ndarray, offsets: np.ndarray, extra: np.ndarray, label: np.ndarray, lexicon: np.ndarray, chosen: np.ndarray) -> Model:
+    """The classifier of a labelled sample: its chosen features with densities, patterns and labels."""
     n = len(label)
     if n == 0 or label.min() == label.max():
         return Model(np.zeros(1 << BITS), 0.0, float(label.mean()) if n else 0.0)
     prior = float(label.mean())
-    t, in_toxic, in_clean = strength(flat, value, offsets, label)
-    order = np.argsort(-np.where(in_toxic >= min(SUPPORT, max(1, int(label.sum()) // 4)), t, 0), kind="stable")
-    lexicon = order[: VOTERS * 2]
-    lexicon = lexicon[t[lexicon] > 1.5]
-    worth = np.abs(t) * ((in_toxic + in_clean) >= SUPPORT)
-    chosen = np.argsort(-worth, kind="stable")[:FEATURES]
-    chosen = chosen[worth[chosen] > 1]
-    # only occurrences of these features matter from here on
-    wanted = np.zeros(1 << BITS, bool)
-    wanted[lexicon] = wanted[chosen] = True
-    kept = wanted[flat]
-    flat, value, offsets = flat[kept], value[kept], np.concatenate([[0], np.cumsum(kept)])[offsets]
     row = X.row_of(offsets)
     number = np.full(1 << BITS, -1)
     number[lexicon] = np.arange(len(lexicon))
@@ -223,35 +237,37 @@ def fit(flat: np.ndarray, value: np.ndarray, offsets: np.ndarray, extra: np.ndar
 
 
 def fit_sample(sample: DataFrame) -> Model:
-    """Fits on the rows of ``labelled_sample``; they come to the driver as features, in the order of partitions."""
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in X.slices(batches):
-            flat, value, offsets = features(batch.column(1))
-            extra = patterns(batch.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(2).cast(pa.int32()),
-                    pa.array(np.diff(offsets), pa.int32()),
-                    pa.array([flat[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary()),
-                    pa.array([value[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary()),
-                    pa.array([e.tobytes() for e in extra], pa.binary()),
-                ],
-                names=["label", "n", "features", "densities", "extra"],
-            )
-
-    labels, sizes, flats, values, extras = [], [], [], [], []
+    """Fits on the rows of ``labelled_sample``: one pass sums up all features, a second brings the chosen ones to the driver."""
     # the few sampled texts are brought together first: an iterator takes one partition after another
     near = sample.repartition(FIT_PARTS, "doc_id").sortWithinPartitions("doc_id")
-    for r in near.mapInArrow(extract, "label int, n int, features binary, densities binary, extra binary").toLocalIterator(prefetchPartitions=True):
-        labels.append(r["label"])
-        sizes.append(r["n"])
-        flats.append(np.frombuffer(r["features"], np.int32))
-        values.append(np.frombuffer(r["densities"], np.float32))
-        extras.append(np.frombuffer(r["extra"]))
-    flat, value = np.concatenate([np.zeros(0, np.int32), *flats]), np.concatenate([np.zeros(0, np.float32), *values])
-    del flats, values
-    return fit(flat, value, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), np.array(extras).reshape(-1, 3), np.array(labels, np.int64))
+
+    def rows(wanted):
+        def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in X.slices(batches):
+                flat, value, offsets = features(batch.column(1))
+                if wanted is not None:
+                    kept = wanted.value[flat]
+                    flat, value, offsets = flat[kept], value[kept], np.concatenate([[0], np.cumsum(kept)])[offsets]
+                cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(2).cast(pa.int32()), cut(flat), cut(value), pa.array([e.tobytes() for e in patterns(batch.column(1))], pa.binary())], names=["label", "features", "densities", "extra"])
+
+        for r in near.mapInArrow(extract, "label int, features binary, densities binary, extra binary").toLocalIterator(prefetchPartitions=True):
+            yield np.frombuffer(r["features"], np.int32), np.frombuffer(r["densities"], np.float32), int(r["label"] > 0), np.frombuffer(r["extra"])
+
+    told = Strength()
+    for flat, value, label, _ in rows(None):
+        told.add(flat, value, label)
+    lexicon, chosen = choose_features(told)
+    wanted = np.zeros(1 << BITS, bool)
+    wanted[lexicon] = wanted[chosen] = True
+    flats, values, labels, extras = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], [], []
+    for flat, value, label, extra in rows(sample.sparkSession.sparkContext.broadcast(wanted)):
+        flats.append(flat)
+        values.append(value)
+        labels.append(label)
+        extras.append(extra)
+    offsets = np.cumsum([len(f) for f in flats], dtype=np.int64)
+    return fit(np.concatenate(flats), np.concatenate(values), offsets, np.array(extras).reshape(-1, 3), np.array(labels, np.int64), lexicon, chosen)
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
