@@ -9,6 +9,11 @@ are never compared.  It also needs more than t / (2 - t) of the template's
 bigrams, so a document in which none of a set of words occurs that touches
 enough bigrams of each template is not cut up at all.  Neither bound loses a match.
 
+``scan`` keeps to these units, as its SQL twin does.  ``passages`` finds a
+licence wherever it stands: it also compares every run of successive words, over
+line and paragraph ends and inside lines, of up to (2 - t) / t times as many
+bigrams, repeats counted, as the template has.
+
 Everything happens within a row: no shuffle, no join.
 
 Cases: null or empty texts match nothing; texts of one word have no bigrams
@@ -19,6 +24,7 @@ to the name that sorts first; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,16 +98,21 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_matches (pairs of a distinct passage and a template), best_license, best_dice, licenses (sorted, comma-joined)."""
-    templates = TEMPLATES if templates is None else templates
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def _table(templates: dict[str, str], threshold: float) -> list[Column]:
+    """Name, bounds of the size and bigrams of each template; reach is the longest run of bigrams compared to it."""
     table = []
     for name in sorted(templates):
         pairs = bigrams_of(templates[name])
         if pairs:
             low, high = threshold / (2 - threshold) * len(pairs), (2 - threshold) / threshold * len(pairs)
-            table.append(F.struct(F.lit(name).alias("name"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.array(*map(F.lit, pairs)).alias("pairs")))
+            reach = int((2 - threshold) / threshold * (len(words_of(templates[name])) - 1))
+            fields = F.lit(name).alias("name"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(reach).alias("reach"), F.array(*map(F.lit, pairs)).alias("pairs")
+            table.append(F.struct(*fields))
+    return table
+
+
+def _likely(text: Column, templates: dict[str, str], threshold: float) -> Column:
+    """Whether any of the covering words occurs."""
     lowered = F.lower(text)
     likely = F.lit(False)
     words = cover(templates, threshold)
@@ -110,15 +121,98 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
             likely = likely | F.contains(lowered, F.lit(word))
     if short := [w for w in words if len(w) <= 5]:
         likely = likely | lowered.rlike(rf"(?<![a-z0-9])(?:{'|'.join(short)})(?![a-z0-9])")
+    return likely
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _pairs(words: Column) -> Column:
+    return F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _best_run(pairs: Column, t: Column) -> Column:
+    """The run of bigrams closest to the template, as (against, from, to) in words; null if too few of its bigrams stand together."""
+    reach, whole = t["reach"], F.size(t["pairs"])
+    least = F.ceil(t["low"] - 1e-9).cast("int")
+
+    def closest(start: Column, steps: Column) -> Column:
+        def longer(state: Column, step: Column) -> Column:
+            new = step["before"] < start
+            n = state["n"] + new.cast("int")
+            hits = state["hits"] + (new & step["known"]).cast("int")
+            dice = F.lit(2.0) * hits / (n + whole)
+            more = dice > state["dice"]
+            return F.struct(n.alias("n"), hits.alias("hits"), (state["size"] + 1).alias("size"), F.when(more, dice).otherwise(state["dice"]).alias("dice"), F.when(more, state["size"] + 1).otherwise(state["best"]).alias("best"))
+
+        none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("hits"), F.lit(0).alias("size"), F.lit(0.0).alias("dice"), F.lit(0).alias("best"))
+        return F.aggregate(F.slice(steps, start + 1, reach), none, longer, lambda s: F.struct((-s["dice"]).alias("against"), start.alias("from"), (start + s["best"] + 1).alias("to")))
+
+    # steps: whether a bigram is the template's, and where it last stood within reach
+    before = lambda b, i: _let(F.array_position(F.reverse(F.slice(pairs, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, reach))), b).cast("int"), lambda back: F.when(back > 0, i - back).otherwise(-1))
+    steps = F.transform(pairs, lambda b, i: F.struct(before(b, i).alias("before"), F.array_contains(t["pairs"], b).alias("known")))
+    known = F.filter(F.transform(pairs, lambda b, i: F.when(F.array_contains(t["pairs"], b), i)), lambda i: i.isNotNull())
+    starts = _let(known, lambda at: F.filter(F.transform(at, lambda p, k: F.when(F.get(at, k + least - 1) - p < reach, p)), lambda p: p.isNotNull()))
+    return _let(starts, lambda ps: F.when(F.size(ps) > 0, _let(steps, lambda s: F.array_min(F.transform(ps, lambda p: closest(p, s))))))
+
+
+def _found(text: Column, known: Column, threshold: float, likely: Column) -> Column:
+    """Matches of the whole text, its blank-line paragraphs and its lines."""
     # exact: blank-line paragraphs and lines of what is left after the cheap test
     units = F.when(likely, F.array_distinct(F.transform(F.concat(F.array(text), F.split(text, r"\n[ \t\r]*\n"), F.split(text, "\n")), _normal))).otherwise(F.array().cast("array<string>"))
-    words = F.transform(units, lambda u: F.split(u, " "))
-    pairs = F.transform(words, lambda w: F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat_ws(" ", a, b))))
+    pairs = F.transform(F.transform(units, lambda u: F.split(u, " ")), lambda w: F.array_distinct(_pairs(w)))
+    dice = lambda b, t: F.lit(2.0) * F.size(F.array_intersect(b, t["pairs"])) / (F.size(b) + F.size(t["pairs"]))
+    fitting = F.transform(pairs, lambda b: F.transform(F.filter(known, lambda t: F.size(b).between(t["low"], t["high"])), lambda t: F.struct((-dice(b, t)).alias("against"), t["name"].alias("name"))))
+    return F.filter(F.flatten(fitting), lambda m: -m["against"] >= threshold)
+
+
+def passages(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: n_licenses, best_license, best_dice, licenses (sorted, comma-joined), and passages.
+
+    These are the licences that ``scan`` finds and those in any run of successive
+    words.  passages holds the closest run of each (license, dice, and the
+    normalised words from and to); a licence that only a longer unit of many
+    repeats reaches has none, but is named.
+    """
+    templates = TEMPLATES if templates is None else templates
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    table = _table(templates, threshold)
+    nothing = F.lit(None).cast("struct<runs:array<struct<against:double,name:string,from:int,to:int>>,units:array<struct<against:double,name:string>>>")
     if table:
-        known = F.array(*table)
-        dice = lambda b, t: F.lit(2.0) * F.size(F.array_intersect(b, t["pairs"])) / (F.size(b) + F.size(t["pairs"]))
-        fitting = F.transform(pairs, lambda b: F.transform(F.filter(known, lambda t: F.size(b).between(t["low"], t["high"])), lambda t: F.struct((-dice(b, t)).alias("against"), t["name"].alias("name"))))
-        found = F.filter(F.flatten(fitting), lambda m: -m["against"] >= threshold)
+        every = F.array(*map(F.lit, sorted({p for t in templates.values() for p in bigrams_of(t)})))
+        # no unit and no run reaches a template without enough of its bigrams somewhere in the text
+        near = lambda own: _let(F.array_intersect(own, every), lambda some: F.filter(F.array(*table), lambda t: F.size(F.array_intersect(some, t["pairs"])) >= t["low"] - 1e-9))
+        named = lambda own, t: _let(_best_run(own, t), lambda r: F.struct(r["against"].alias("against"), t["name"].alias("name"), r["from"].alias("from"), r["to"].alias("to")))
+        runs = lambda own, ts: F.filter(F.transform(ts, lambda t: named(own, t)), lambda r: -r["against"] >= threshold)
+        both = lambda own, ts: F.when(F.size(ts) > 0, F.struct(runs(own, ts).alias("runs"), _found(text, ts, threshold, F.lit(True)).alias("units")))
+        found = F.when(_likely(text, templates, threshold), _let(F.split(_normal(text), " "), lambda w: _let(_pairs(w), lambda own: _let(near(own), lambda ts: both(own, ts))))).otherwise(nothing)
+    else:
+        found = nothing
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), found.alias("found")).select(
+        "doc_id", *(F.coalesce(F.col("found")[k], F.array().cast(kind)).alias(k) for k, kind in (("runs", "array<struct<against:double,name:string,from:int,to:int>>"), ("units", "array<struct<against:double,name:string>>")))
+    )
+    alike = F.concat("units", F.transform("runs", lambda r: F.struct(r["against"].alias("against"), r["name"].alias("name"))))
+    names = F.array_sort(F.array_distinct(F.transform(alike, lambda m: m["name"])))
+    best = F.array_min(alike)
+    return read.select(
+        "doc_id",
+        F.size(names).cast("long").alias("n_licenses"),
+        best["name"].alias("best_license"),
+        F.round(F.coalesce(-best["against"], F.lit(0.0)), 6).alias("best_dice"),
+        F.array_join(names, ",").alias("licenses"),
+        F.transform("runs", lambda r: F.struct(r["name"].alias("license"), F.round(-r["against"], 6).alias("dice"), r["from"].alias("from"), r["to"].alias("to"))).alias("passages"),
+    )
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: n_matches (pairs of a distinct passage and a template), best_license, best_dice, licenses (sorted, comma-joined)."""
+    templates = TEMPLATES if templates is None else templates
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    table = _table(templates, threshold)
+    if table:
+        found = _found(text, F.array(*table), threshold, _likely(text, templates, threshold))
     else:
         found = F.array().cast("array<struct<against:double,name:string>>")
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), found.alias("found"))
@@ -137,6 +231,11 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of words of every text against every template."""
+    return passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def _oracle() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in sorted(TEMPLATES.items()))

@@ -78,6 +78,51 @@ def test_licence_cover_and_plan_is_native(odd):
     assert not re.search("Python|Arrow|Pandas|Exchange hashpartitioning", plan)
 
 
+def brute_passages(text, threshold=licenses.THRESHOLD):
+    """The closest run of words to each template, over all runs within reach."""
+    words = licenses.words_of(text)
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    found = {}
+    for name, template in licenses.TEMPLATES.items():
+        b = set(licenses.bigrams_of(template))
+        reach = int((2 - threshold) / threshold * (len(licenses.words_of(template)) - 1))
+        for i in range(len(pairs)):
+            a, same = set(), 0
+            for j in range(i, min(i + reach, len(pairs))):
+                if pairs[j] not in a:
+                    a.add(pairs[j])
+                    same += pairs[j] in b
+                dice = 2 * same / (len(a) + len(b))
+                if dice >= threshold and dice > found.get(name, (0,))[0]:
+                    found[name] = dice, i, j + 2
+    return sorted((name, round(d, 6), i, j) for name, (d, i, j) in found.items())
+
+
+def test_licence_passages_wherever_they_stand(spark, odd, none):
+    rng = random.Random(5)
+    notices = ["MIT-notice", "CC-BY-NC-4.0", "Apache-2.0", "Unlicense", "GPL-3.0", "CC-BY-4.0", "CC-BY-SA-4.0"]
+    cases = [(name, f"{prose(rng, 200)}\n\n{licenses.TEMPLATES[name].replace(chr(10), chr(10) * 2)}\n\n{prose(rng, 200)}") for name in ("MIT", "GPL-3.0-header", "ISC", "BSD-3-Clause")]
+    cases += [(name, f"{prose(rng, 8)} {licenses.TEMPLATES[name]} {prose(rng, 7)}") for name in notices]
+    # a whole text among repeats, two licences in a row, a repeated notice, and what is none
+    cases += [("ISC", f"{'the the ' * 30}{licenses.TEMPLATES['ISC']}"), ("MIT", f"{licenses.TEMPLATES['MIT']} {licenses.TEMPLATES['ISC']}"), ("Apache-2.0", f"x {licenses.TEMPLATES['Apache-2.0']} " * 4)]
+    cases += [(None, x) for x in ("", "license", "software license version of the", prose(rng, 200), licenses.TEMPLATES["MIT"][:400])] + [(None, None)]
+    cases += [("GPL-3.0", "This work is " + "licensed licensed " * 40 + "under the GNU General Public License, version 3.")]
+    table = spark.createDataFrame([(i, t, "x") for i, (_, t) in enumerate(cases)], "doc_id bigint, text string, runs string")
+    found, units = licenses.passages(table), {r["doc_id"]: r for r in licenses.scan(table).collect()}
+    got = {r["doc_id"]: r for r in found.collect()}
+    for i, (name, text) in enumerate(cases):
+        r, want = got[i], brute_passages(text or "")
+        assert [tuple(p) for p in r["passages"]] == want
+        names = sorted({p[0] for p in want} | set(filter(None, units[i]["licenses"].split(","))))
+        assert (r["licenses"], r["n_licenses"]) == (",".join(names), len(names)) and (name is None or name in names)
+        assert r["best_dice"] == max([p[1] for p in want] + [units[i]["best_dice"]])
+    # the units alone miss these
+    assert not any(cases[i][0] in units[i]["licenses"].split(",") for i in (0, 1, *range(4, 11)))
+    assert not re.search("Python|Arrow|Pandas|Exchange", found._jdf.queryExecution().executedPlan().toString())
+    assert licenses.passages(odd).count() == 20 and licenses.passages(none).count() == 0
+    assert licenses.passages(table, {}).where("n_licenses > 0").count() == 0
+
+
 def norm(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
