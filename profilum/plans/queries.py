@@ -346,7 +346,7 @@ def jackhmmer_full(spark, sf_dir):
     from profilum.plans.search import jackhmmer
 
     seqs = queries_of(profiles(spark, sf_dir))
-    return jackhmmer(spark, queries_of(profiles(spark, sf_dir)), seqs, max_iterations=2).df
+    return jackhmmer(spark, queries_of(profiles(spark, sf_dir)), seqs).df
 
 
 @query("nhmmer_full")

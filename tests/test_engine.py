@@ -125,6 +125,29 @@ def test_sequence_queries_and_iteration(spark):
     assert [r[0] for r in last] == ["jackhmmer_query"]
 
 
+def test_registered_iteration_runs_all_rounds(spark, monkeypatch):
+    import inspect
+
+    import __spark_entry__
+    from profilum.plans import search
+
+    rounds = []
+    whole = inspect.signature(search.jackhmmer)
+
+    class Result:
+        df = None
+
+    def recorded(*args, **more):
+        bound = whole.bind(*args, **more)
+        bound.apply_defaults()
+        rounds.append(bound.arguments["max_iterations"])
+        return Result
+
+    monkeypatch.setattr(search, "jackhmmer", recorded)
+    __spark_entry__.queries()["jackhmmer_full"](spark, "/root/testdata/sf0.001")
+    assert rounds == [whole.parameters["max_iterations"].default] == [5]
+
+
 def test_nucleotides_on_both_strands(spark):
     rng = np.random.default_rng(4)
     motif = "".join(rng.choice(list("ACGT"), 60))
