@@ -30,7 +30,7 @@ from math import erf, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilum.llm import text as X
@@ -195,14 +195,14 @@ def _pick(flat: np.ndarray, offsets: np.ndarray, sets: np.ndarray) -> tuple[np.n
 
 
 def _describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sid of documents."""
+    """doc_id, n, sid, mark of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in X.slices(batches, limit=SLICE):
             _, offsets, digest = shingle_sets(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(digest)], names=["doc_id", "n", "sid"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(digest), batch.column(2)], names=["doc_id", "n", "sid", "mark"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, sid bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, sid bigint, mark bigint")
 
 
 def _dealt(to: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -411,6 +411,11 @@ def _verify(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     return stored.join(dealt, "sid").groupBy("key").applyInArrow(link, "sid bigint, root bigint, links bigint")
 
 
+def _mark(text: Column) -> Column:
+    """Tells rows of one id apart by their text."""
+    return F.xxhash64(text.cast("string"))
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links), n_links (documents it is linked with).
 
@@ -420,17 +425,23 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     least id of its component (null if there is none).  Any number of equal or
     similar rows, an empty table and extra columns work.
     """
-    spark = docs.sparkSession
+    rows, sets, _ = _components(docs, id_col, text_col)
+    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return rows.where("n > 0").join(sets, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").unionByName(empty)
+
+
+def _components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (doc_id, n, sid, mark), the sets (sid, component_id, n_links), and the row of least id, then mark, of each component that has words."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # a shingle takes about six bytes of text; this only guides the allocation and the numbers of buckets
     rough = texts.groupBy(F.floor(F.log2(F.greatest(F.octet_length("text") / 6, F.lit(1)))).cast("int").alias("band")).agg(F.count(F.lit(1)).alias("n")).where("band is not null").collect()
     signatures = Signatures(allocate({r["band"]: r["n"] for r in rough}))
     values = sum(r["n"] * 1.5 * 2 ** r["band"] for r in rough)
-    rows = stash(_describe(texts), "sets")
+    rows = stash(_describe(texts.withColumn("mark", _mark(F.col("text")))), "sets")
     edges = stash(_candidates(texts, signatures, max(8, int(values // PER_BUCKET)), max(8, sum(r["n"] for r in rough) // PER_PART)), "candidates")
     found = components(edges)
     nodes = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
-    classes = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
+    classes = rows.where("n > 0").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
     known = nodes.select(F.col("node").alias("sid"), F.col("root").alias("cluster")).join(classes.select("sid", "copies", "n"), "sid")
     weight = known.groupBy("cluster").agg(F.ceil(F.sum("n") / PER_TASK).cast("int").alias("blocks"))
     clusters = stash(known.join(weight, "cluster").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).select("sid", "cluster", "copies", "block", "blocks"), "clusters")
@@ -438,24 +449,23 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     roots = components(verified.select(F.col("sid").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("sid").agg(F.sum("links").alias("links"))
     per_set = classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").join(links, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    per_root = per_set.groupBy("root").agg(F.min("least").alias("component_id"))
-    sets = stash(per_set.join(per_root, "root").select("sid", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "components")
-    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return rows.where("n > 0").join(sets, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").unionByName(empty)
+    per_root = per_set.groupBy("root").agg(F.min("least").alias("chosen"))
+    named = stash(per_set.join(per_root, "root").select("sid", "least", "chosen", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "components")
+    return rows, named.select("sid", F.col("chosen.doc_id").alias("component_id"), "n_links"), named.where("least = chosen").select("chosen.doc_id", "chosen.mark")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows, with all their columns, whose doc_id is the least of its component; rows repeated in id and text once.
+    """One row, with all its columns, of each component: the one of least doc_id, and of least text hash among rows that share it.
 
-    Rows without an id stay only where their whole component has none.
+    A component without any id keeps one row too.  Rows without words are
+    components of their own: they stay, those repeated in id and text once.
     """
-    groups = similar_documents(docs)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    same = F.col("doc_id").cast("long") == F.col("_kept")
+    rows, _, chosen = _components(docs)
+    kept = chosen.unionByName(rows.where("n = 0 AND doc_id IS NOT NULL").select("doc_id", "mark")).select(F.col("doc_id").alias("_kept"), F.col("mark").alias("_mark"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (_mark(F.col("text")) == F.col("_mark"))
     known = docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    if groups.where("doc_id IS NULL AND component_id IS NULL").isEmpty():
-        return known
-    return known.unionByName(docs.where("doc_id IS NULL"))
+    text = F.col("text").cast("string")
+    return known.unionByName(docs.where(F.col("doc_id").isNull() & (text.isNull() | ~text.rlike(r"[^\x20\x09-\x0D]"))))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

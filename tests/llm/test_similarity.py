@@ -171,3 +171,23 @@ def test_a_small_sketch_changes_nothing(doc, monkeypatch):
     monkeypatch.setattr(substrings, "HELD", 300)
     got = collections.Counter(map(tuple, substrings.dedup_digest(doc(texts)).collect()))
     assert got == brute_removal(list(enumerate(texts)))
+
+
+def test_one_row_of_each_component_with_null_and_repeated_ids(spark, odd, none):
+    rng = random.Random(12)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    near = lambda t: t + " more"
+    rows = [(1, a), (2, a), (None, a), (None, near(a)), (None, b), (None, b), (None, near(b)), (3, c), (3, near(c)), (4, a), (4, d), (None, ""), (None, None), (None, " \n"), (5, ""), (5, ""), (6, None), (7, e), (7, e), (8, near(e))]
+    table = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, text string, sid int").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each(table).collect()]
+    one = lambda texts: [r for r in got if r[1] in texts]
+    assert one([a, near(a)]) == [(1, a)] and one([d]) == [(4, d)] and one([e, near(e)]) == [(7, e)]
+    assert len(one([b, near(b)])) == 1 and len(one([c, near(c)])) == 1
+    assert sorted([r for r in got if not (r[1] or "").strip()], key=str) == sorted([(None, ""), (None, None), (None, " \n"), (5, ""), (6, None)], key=str)
+    assert len(got) == 10
+    kept = jaccard.one_of_each(odd).collect()
+    words = [r for r in kept if (r["text"] or "").strip()]
+    # the odd table: equal sets, a null-id copy of 9, and 16 twice with texts of two components
+    assert sorted(r["doc_id"] for r in words if r["doc_id"] is not None) == sorted(r["doc_id"] for r in words)
+    assert len({(r["doc_id"], r["text"]) for r in words}) == len(words) and sum(r["doc_id"] == 16 for r in words) == 2
+    assert sum(r["doc_id"] is None for r in kept) == 1 and jaccard.one_of_each(none).count() == 0
