@@ -4,8 +4,8 @@
 holds, for some whole documents, the posting list (word positions) of every
 term.  ``occurrences`` answers phrases from a shard alone: it starts at the
 posting list of the phrase's rarest term and intersects it with the
-offset-adjusted lists of its other terms, rarest first; with ``slop`` a term
-may stand that many words from its place (proximity match).
+offset-adjusted lists of its other terms, rarest first; with ``slop`` every term
+may stand that many words from its place (proximity match), whichever is rarest.
 
 Shards hold whole documents, so nothing is shuffled.  The phrases are the
 stated query set: they reach the tasks by broadcast in blocks of bounded
@@ -127,7 +127,11 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, id_col: str =
 
 
 def occurrences(terms: np.ndarray, sizes: np.ndarray, postings: np.ndarray, bounds: np.ndarray, phrases: Phrases, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Phrase numbers and start positions of all matches in one shard whose documents lie between ``bounds``."""
+    """Phrase numbers and start positions of all matches in one shard whose documents lie between ``bounds``.
+
+    With ``slop`` these are all starts from which each term is that near to its
+    place; a start outside its document counts as the nearest word inside.
+    """
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(terms) or not len(phrases.lengths):
         return none
@@ -149,7 +153,10 @@ def occurrences(terms: np.ndarray, sizes: np.ndarray, postings: np.ndarray, boun
     place = postings[X.expand(first[lead].astype(np.int64), sizes[lead].astype(np.int64))].astype(np.int64)
     start = place - rarest[who]
     doc = np.searchsorted(bounds, place, "right") - 1
-    fits = (start >= bounds[doc]) & (start + length[who] <= bounds[doc + 1])
+    if slop:
+        shifts = np.arange(-slop, slop + 1)
+        who, doc, start = np.repeat(who, len(shifts)), np.repeat(doc, len(shifts)), (start[:, None] + shifts).ravel()
+    fits = (start + slop >= bounds[doc]) & (start + length[who] <= bounds[doc + 1] + slop)
     who, start, doc = who[fits], start[fits], doc[fits]
     for k in range(1, width):
         if not len(who):
@@ -164,6 +171,8 @@ def occurrences(terms: np.ndarray, sizes: np.ndarray, postings: np.ndarray, boun
         hit = (at < len(joined)) & (joined[np.minimum(at, len(joined) - 1)] <= (base | high))
         keep = hit | ~asked
         who, start, doc = who[keep], start[keep], doc[keep]
+    if slop and len(who):
+        who, start = np.unique(np.column_stack([who, np.clip(start, bounds[doc], bounds[doc + 1] - 1)]), axis=0).T
     return alive[who], start
 
 
@@ -177,8 +186,13 @@ def phrase_blocks(items: DataFrame, width: int = WINDOW, block_bytes: int = BLOC
         yield phrases_of(part.toArrow(), width)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, and hit_spans (word ranges that are hit)."""
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, slop: int = 0) -> DataFrame:
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, hit_spans (word ranges that are hit), and near.
+
+    near holds the proximity matches within ``slop`` words (item, and position
+    of the start), exact ones too, and is empty without slop.  The other
+    columns are about exact matches only.
+    """
     context = docs.sparkSession.sparkContext
     blocks = list(phrase_blocks(items, width, block_bytes))
     vocabulary = np.unique(np.concatenate([b.vocabulary for b in blocks]))
@@ -193,7 +207,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_
                 bounds = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
                 depth = np.zeros(bounds[-1] + 1, np.int32)
                 named: dict[int, set[str | None]] = {}
+                close: list[set[tuple[int, str | None]]] = [set() for _ in counts]
                 for part in sent:
+                    if slop:
+                        which, start = occurrences(terms, sizes, postings, bounds, part.value, slop)
+                        doc = np.searchsorted(bounds, start, "right") - 1
+                        for d, at, item in zip(doc.tolist(), (start - bounds[doc]).tolist(), part.value.items[which].tolist()):
+                            close[d].add((at, part.value.names[item]))
                     which, start = occurrences(terms, sizes, postings, bounds, part.value)
                     np.add.at(depth, start, 1)
                     np.add.at(depth, start + part.value.lengths[which], -1)
@@ -216,16 +236,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_
                         pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists]),
                         pa.array(n_hit > 0),
                         pa.ListArray.from_arrays(pa.array(spans, pa.int32()), pairs),
+                        pa.array([[{"item": x, "position": at} for at, x in sorted(c, key=lambda m: (m[0], m[1] is None, m[1] or ""))] for c in close], pa.list_(pa.struct([("item", pa.string()), ("position", pa.int32())]))),
                     ],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"],
+                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans", "near"],
                 )
 
-    schema = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, hit_spans array<struct<from:int,to:int>>"
+    schema = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, hit_spans array<struct<from:int,to:int>>, near array<struct<item:string,position:int>>"
     return build_index(docs, vocabulary).mapInArrow(answer, schema)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, in which no phrase of the items occurs."""
+def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text", slop: int = 0) -> DataFrame:
+    """The rows, with all their columns, in which no phrase of the items occurs; with slop, none nearly."""
     context = docs.sparkSession.sparkContext
     blocks = list(phrase_blocks(items, width, block_bytes))
     known = context.broadcast(Vocabulary(np.unique(np.concatenate([b.vocabulary for b in blocks]))))
@@ -240,7 +261,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW, bl
             count = np.bincount(term, minlength=len(known.value.terms))
             clean = np.ones(batch.num_rows, bool)
             for part in sent:
-                _, start = occurrences(known.value.terms[count > 0], count[count > 0], postings, rows, part.value)
+                _, start = occurrences(known.value.terms[count > 0], count[count > 0], postings, rows, part.value, slop)
                 clean[np.searchsorted(rows, start, "right") - 1] = False
             yield batch.filter(pa.array(clean))
 
@@ -250,7 +271,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW, bl
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return decontaminate(docs, items).drop("hit_spans")
+    return decontaminate(docs, items).drop("hit_spans", "near")
 
 
 ORACLE_SQL = r"""

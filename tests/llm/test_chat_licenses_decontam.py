@@ -171,6 +171,36 @@ def test_proximity_matches():
     assert set(exact[1].tolist()) < set(near[1].tolist()) and 3 in near[1].tolist() and all(s < 9 for s in near[1].tolist())
 
 
+def brute_near(text, items, slop):
+    w, found = norm(text), set()
+    for item, t in items:
+        b = norm(t)
+        n = min(10, len(b))
+        for k in range(len(b) - n + 1 if n else 0):
+            for s in range(-slop, len(w) + slop):
+                if all(b[k + j] in w[max(s + j - slop, 0) : max(s + j + slop + 1, 0)] for j in range(n)):
+                    found.add((None if item is None else str(item), min(max(s, 0), len(w) - 1)))
+    return sorted(found, key=str)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_decontamination_by_proximity(spark, parts):
+    rng = random.Random(6)
+    items = [(1, prose(rng, 14)), (2, "a b c"), (3, "the of the"), (None, prose(rng, 11)), (4, ""), (5, prose(rng, 25))]
+    inserted = lambda t, n: " ".join(x + (" also" if i % n == n - 1 else "") for i, x in enumerate(t.split()))
+    texts = [f"{prose(rng, 20)} {inserted(t, n)} {prose(rng, 9)}" for _, t in items for n in (3, 4, 6)] + ["a x b y c", "b a c", "c b a", "a b", "the of", "of the the", "b b b", None, "", items[0][1]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(parts)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for slop in (1, 2):
+        got = {r["doc_id"]: sorted(((m["item"], m["position"]) for m in r["near"]), key=str) for r in decontam.decontaminate(docs, bench, slop=slop).collect()}
+        assert got == {i: brute_near(t, items, slop) for i, t in enumerate(texts)}
+        kept = {r["doc_id"] for r in decontam.drop_contaminated(docs, bench, slop=slop).collect()}
+        assert kept == {i for i, m in got.items() if not m}
+    # words are inserted after every fourth: no exact window of ten, but a near one
+    exact = {r["doc_id"]: r for r in decontam.decontaminate(docs, bench).collect()}
+    assert not exact[1]["contaminated"] and ("1", 21) in got[1] and not any(r["near"] for r in exact.values())
+
+
 def test_index_of_all_terms(spark, odd):
     shards = decontam.build_index(odd).collect()
     assert sum(len(s["doc_ids"]) for s in shards) == 20
