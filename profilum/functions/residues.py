@@ -21,7 +21,7 @@ def letters(alphabet: str) -> str:
 def only_residues(text: Column, alphabet: str) -> Column:
     """The letters of a text that are residues, in upper case; filtered first, so that no other letter becomes one."""
     known = letters(alphabet)
-    return F.upper(F.regexp_replace(text, f"[^{known}{known.lower()}]", ""))
+    return F.upper(F.regexp_replace(text, f"[^{known}{known.lower()}]+", ""))
 
 
 def digitize(residues: Column, alphabet: str) -> Column:

@@ -75,7 +75,8 @@ r AS (SELECT *, {_passes("seq_score", "evalue", cut, o.bitscore, o.evalue, DEFAU
 q AS (SELECT *, sum(CAST(rep AS BIGINT)) OVER (PARTITION BY {unit}) AS dom_z, rep AND {_passes("seq_score", "evalue", cut, o.inc_bitscore, o.inc_evalue, DEFAULTS["inc_evalue"])} AS inc FROM r),
 hit AS (SELECT * FROM q WHERE inc),
 hv AS (SELECT hit.*, dscore, exp(dlnp) * z AS i_evalue, exp(dlnp) * dom_z AS c_evalue, seq_from, seq_to, d.hmm_from, d.hmm_to FROM hit JOIN dom d USING (profile_index, record_index)),
-hd AS (SELECT * FROM hv WHERE rep AND {_passes("dscore", "i_evalue", f"({cut}) / 2" if cut else None, o.dom_bitscore, o.dom_evalue, DEFAULTS["dom_evalue"])})
+hd AS (SELECT *, rep AND {_passes("dscore", "i_evalue", f"({cut}) / 2" if cut else None, o.inc_dom_bitscore, o.inc_dom_evalue, DEFAULTS["inc_dom_evalue"])} AS dom_inc
+  FROM hv WHERE rep AND {_passes("dscore", "i_evalue", f"({cut}) / 2" if cut else None, o.dom_bitscore, o.dom_evalue, DEFAULTS["dom_evalue"])})
 """
 
 
@@ -122,7 +123,7 @@ def revcomp(spark, sf_dir):
 
 @query("ungapped_segments", f"WITH {_SEGMENTS} SELECT profile_index, record_index, diagonal, score, seq_from, seq_to, hmm_from, hmm_to FROM seg")
 def ungapped_segments(spark, sf_dir):
-    return W.segments(W.matches(profiles(spark, sf_dir), sequences(spark, sf_dir)))
+    return W.segments(W.matches(profiles(spark, sf_dir), sequences(spark, sf_dir))).drop("source_path")
 
 
 @query("ungapped_best", f"WITH {_RAW} SELECT sequence_id, hmm_name, CAST(seq_score AS DOUBLE) AS seq_score, round(CAST(seq_lnp AS DOUBLE), 9) AS seq_lnp FROM raw")
@@ -156,13 +157,27 @@ def score_pvalues(spark, sf_dir):
 #: Options whose effect each query shows.
 _CASES = {
     "thr_E": ThresholdOptions(evalue=1e-6), "thr_T": ThresholdOptions(bitscore=30.0), "thr_domE": ThresholdOptions(dom_evalue=1e-5), "thr_domT": ThresholdOptions(dom_bitscore=28.0),
-    "thr_incE": ThresholdOptions(inc_evalue=1.0), "thr_incT": ThresholdOptions(inc_bitscore=24.0), "thr_incdomE": ThresholdOptions(inc_dom_evalue=1e-6), "thr_incdomT": ThresholdOptions(inc_dom_bitscore=26.0),
+    "thr_incE": ThresholdOptions(inc_evalue=1.0), "thr_incT": ThresholdOptions(inc_bitscore=24.0),
     "cut_ga": ThresholdOptions(cut_ga=True), "cut_tc": ThresholdOptions(cut_tc=True), "cut_nc": ThresholdOptions(cut_nc=True), "cascade": ThresholdOptions(cascade=True), "flat_result": ThresholdOptions(),
 }
 for _name, _options in _CASES.items():
     query(_name, _hits_sql(_options) + _FLAT)(functools.partial(flat, options=_options))
 
 
+#: Options that flag domains and drop none.
+_FLAGS = {"thr_incdomE": ThresholdOptions(inc_dom_evalue=1e-6), "thr_incdomT": ThresholdOptions(inc_dom_bitscore=26.0)}
+
+
+def flagged(spark: SparkSession, sf_dir: str, options: ThresholdOptions) -> DataFrame:
+    """Reported domains of included hits, and whether each is included itself."""
+    kept = hits(spark, sf_dir, options).where("seq_included").select("sequence_id", "hmm_name", F.explode(F.filter("domains", lambda d: d["reported"])).alias("d"))
+    return kept.select("sequence_id", "hmm_name", F.col("d.score").alias("dom_bitscore"), F.col("d.env_from").alias("env_from"), F.col("d.env_to").alias("env_to"), F.col("d.included").alias("included"))
+
+
+for _name, _options in _FLAGS.items():
+    query(_name, _hits_sql(_options) + "SELECT sequence_id, hmm_name, CAST(dscore AS DOUBLE) AS dom_bitscore, seq_from AS env_from, seq_to AS env_to, dom_inc AS included FROM hd")(functools.partial(flagged, options=_options))
+
+
 @query("cutoff_availability", f"WITH {_PROFS} SELECT hmm_name AS name, ga IS NOT NULL AS gathering, tc IS NOT NULL AS trusted, nc IS NOT NULL AS noise FROM profs")
 def cutoff_availability(spark, sf_dir):
     return TH.cutoff_availability(profiles(spark, sf_dir))
