@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilum.llm import text as X
+from profilum.llm.shared import unused
 
 WINDOW, GRAM = 35, 20
 #: Cells of each of the two sketch rows, at least and at most (a bit each in the tasks), and cells an expected anchor gets.
@@ -89,8 +90,9 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def text_key(text: Column) -> list[Column]:
-    """128 bits of a text, as two numbers."""
-    return [F.xxhash64(text), F.xxhash64(text, F.lit(1))]
+    """128 bits of a text, as two numbers: hashes of the text, and of the text after one more character, which moves all
+    its bytes, so that texts alike in one are not so in the other."""
+    return [F.xxhash64(text), F.xxhash64(F.concat(F.lit("\u0001"), text))]
 
 
 def repeated_cells(docs: DataFrame, cells: int, window: int = WINDOW, gram: int = GRAM, text_col: str = "text") -> list[np.ndarray]:
@@ -306,9 +308,10 @@ def _joined(raw: np.ndarray, first: np.ndarray, last: np.ndarray, rows: np.ndarr
 
 def _with_runs(docs: DataFrame, window: int, gram: int, text_col: str) -> DataFrame:
     """The rows with all their columns, and last the runs of their texts."""
-    found = repeated_windows(docs, window, gram, text_col).toDF("_text_k1", "_text_k2", "_text_runs")
+    names = unused(docs.columns, "text_k1", "text_k2", "text_runs")
+    found = repeated_windows(docs, window, gram, text_col).toDF(*names)
     keys = text_key(F.col(text_col).cast("string"))
-    return docs.join(found, (keys[0] == F.col("_text_k1")) & (keys[1] == F.col("_text_k2")), "left").drop("_text_k1", "_text_k2")
+    return docs.join(found, (keys[0] == F.col(names[0])) & (keys[1] == F.col(names[1])), "left").drop(*names[:2])
 
 
 def dedup_digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
