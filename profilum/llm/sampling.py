@@ -89,10 +89,13 @@ class Sampler:
             share[a:b] = part / summed
             total[e] = peak + np.log(summed)
             first_edge[e[first]] = a + first
-        running = np.cumsum(share)
+        # summed edge by edge within each end, so that a text's sums do not depend on what else is in the batch
         first = np.flatnonzero(np.append(True, end[1:] != end[:-1])) if len(end) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(first, len(end)))
-        inside = running - np.repeat((running - share)[first], sizes)
+        inside = share
+        for k in range(1, int(sizes.max(initial=0))):
+            at = first[sizes > k] + k
+            inside[at] += inside[at - 1]
         inside[first + sizes - 1] = 2.0
         return start, piece, inside, first_edge
 
