@@ -1,17 +1,24 @@
-"""Intermediate tables in the shared folder of the cluster."""
+"""Intermediate tables in the shared folder of the cluster, and names that no table has."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where each stashed table lies.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests on one machine, a new one."""
+    """The folder in spark.checkpoint.dir; where that is unset, a new one if all work is on this machine, and else an error,
+    as executors would each write to a disk of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="profilum-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -22,4 +29,33 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _PATHS[back] = path
+    return back
+
+
+def same_stash(df: DataFrame, of: DataFrame) -> DataFrame:
+    """``df``, which reads the table ``of`` and nothing else that is stashed, to be discarded like it."""
+    if of in _PATHS:
+        _PATHS[df] = _PATHS[of]
+    return df
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete stashed tables that nothing will read again."""
+    for df in stashed:
+        if path := _PATHS.pop(df, None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(columns: list[str], *wanted: str) -> list[str]:
+    """Names like those wanted that are not among the columns, in any case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
