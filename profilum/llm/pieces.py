@@ -55,6 +55,15 @@ class HashMap:
         return out
 
 
+def _check(sp, path: str) -> None:
+    """Only BPE models (their scores are places of merges, so whole numbers) that leave texts as they are can be counted this way."""
+    scores = [sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    if any(s != int(s) or s > 0 for s in scores):
+        raise ValueError(f"{path} is not a BPE model")
+    if any(sp.decode(sp.encode(t)) != t for t in (" a  b ", "\ufb01\uff11\u00a0x\n\t")):
+        raise ValueError(f"{path} changes texts before it cuts them")
+
+
 class Pieces:
     """Pieces of a model that text can become; characters are numbered from 1, others are 0."""
 
@@ -63,6 +72,7 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
+        _check(sp, path)
         self.size = n
         self.bytes = np.full(256, -1, np.int64)
         kept: list[tuple[str, int, float]] = []

@@ -7,13 +7,17 @@ the one that forms a stable pair with the last piece of what is before it.
 That gives the exact count of every prefix from one pass, for all distinct
 segments of a batch at once; the count of a longer prefix is a sum.
 
+The counts are stored, as changes from character to character, a byte each as
+a rule (``prefix_store``).  Questions about truncation and budgets (``fit``,
+``cost``) read the store, never the text, and nothing is encoded again.
+
 Cases: null or empty texts have no tokens; characters without a piece count
 as their UTF-8 bytes; equal texts get equal counts; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +26,10 @@ from pyspark.sql import functions as F
 
 from profilum.llm import pieces as P
 from profilum.llm import text as X
+from profilum.llm.shared import stash
+from profilum.sources.tables import read_table
 
 LIMIT = 4096
-CACHE_BITS = 20
 
 
 class PrefixCounter:
@@ -54,8 +59,6 @@ class PrefixCounter:
         self.pair = P.HashMap(np.array(keys, X.U64), np.array(values, np.int64))
         self.seen = np.full(1 << 21, -1, np.int64)
         self.stable_ = np.zeros(1 << 21, bool)
-        self.known = np.zeros(1 << CACHE_BITS, X.U64)
-        self.count_ = np.zeros(1 << CACHE_BITS, np.int32)
         self.utf8 = lambda points: 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
 
     def _merged(self, piece: str, n: int) -> tuple[int, int] | None:
@@ -135,34 +138,23 @@ class PrefixCounter:
             count[e] = np.where(first, 0, count[np.maximum(s - 1, 0)]) + 1
         return count
 
-    def totals(self, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Token counts of segments."""
-        hashes = P.segment_hashes(points, starts)
-        slot = (hashes >> X.U64(64 - CACHE_BITS)).astype(np.int64)
-        out = self.count_[slot].astype(np.int64)
-        miss = np.flatnonzero(self.known[slot] != hashes)
-        if len(miss):
-            own, offsets, number, keys = P.distinct_segments(points, starts, hashes, miss)
-            found = self.prefixes(own, offsets)[offsets[1:] - 1]
-            out[miss] = found[number]
-            slots = (keys >> X.U64(64 - CACHE_BITS)).astype(np.int64)
-            self.known[slots], self.count_[slots] = keys, found
-        return out
-
-    def counts(self, texts: list[str], limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of each text, and the characters of its longest prefix of which neither it nor a shorter one has more than ``limit`` tokens."""
-        points, starts, rows, segments = self.vocabulary.segments(texts)
-        total = np.concatenate([[0], np.cumsum(self.totals(points, starts))])
-        tokens = total[segments[1:]] - total[segments[:-1]]
-        fits = np.array([len(t) for t in texts], np.int64)
-        for i in np.flatnonzero(tokens > limit):
-            segment = int(np.searchsorted(total, total[segments[i]] + limit, "right")) - 1
-            a = int(starts[segment])
-            b = int(starts[segment + 1]) if segment + 1 < len(starts) else len(points)
-            inside = self.prefixes(points[a:b], np.array([0, b - a]))
-            over = np.flatnonzero(inside > limit - (total[segment] - total[segments[i]]))
-            fits[i] = a + (int(over[0]) if len(over) else b - a) - int(rows[i]) - 1
-        return tokens, np.maximum(fits, 0)
+    def steps(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """By how much each character of all texts (flat) changes the count of the prefix that ends with it, and the rows' offsets."""
+        points, starts, rows, _ = self.vocabulary.segments(texts)
+        if not len(points):
+            return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        lengths = np.diff(np.append(starts, len(points)))
+        own, offsets, number, _ = P.distinct_segments(points, starts, P.segment_hashes(points, starts), np.arange(len(starts)))
+        counts = self.prefixes(own, offsets)[X.expand(offsets[number], lengths)]
+        step = counts.copy()
+        step[1:] -= counts[:-1]
+        step[starts] = counts[starts]
+        # the space put before each text belongs to its first character
+        lead = rows[:-1][np.diff(rows) > 0]
+        step[lead + 1] += step[lead]
+        kept = np.ones(len(points), bool)
+        kept[lead] = False
+        return step[kept], rows - np.concatenate([[0], np.cumsum(np.diff(rows) > 0)])
 
     def all_prefixes(self, text: str) -> np.ndarray:
         """Token counts of text[:0], text[:1], ... text."""
@@ -187,36 +179,82 @@ def counter(path: str) -> PrefixCounter:
     return _COUNTERS[path]
 
 
-def token_counts(docs: DataFrame, model: str | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_bytes, n_tokens, over_limit, and fit_chars (characters that fit the limit)."""
+#: A document's stored counts: changes from character to character, as numbers of ``width`` bytes.
+STORE = "doc_id bigint, n_bytes bigint, n_chars bigint, n_tokens bigint, width tinyint, steps binary"
+
+
+def prefix_store(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """STORE of each document: exact token counts at every prefix, to be written and asked any number of times."""
     path = model or P.default_model()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         for batch in X.slices(batches):
             _, offsets = X.utf8(batch.column(1))
-            tokens, fits = own.counts(P.texts_of(batch.column(1)), limit)
+            step, rows = own.steps(P.texts_of(batch.column(1)))
+            total = np.concatenate([[0], np.cumsum(step)])
+            narrow = step.astype(np.int8)
+            data, width = [], []
+            for a, b in zip(rows[:-1].tolist(), rows[1:].tolist()):
+                fits = a == b or np.abs(step[a:b]).max() < 128
+                width.append(1 if fits else 4)
+                data.append((narrow if fits else step.astype("<i4"))[a:b].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(tokens, pa.int64()), pa.array(tokens > limit), pa.array(fits, pa.int64())],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
+                [batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(np.diff(rows), pa.int64()), pa.array(total[rows[1:]] - total[rows[:-1]], pa.int64()), pa.array(width, pa.int8()), pa.array(data, pa.binary())],
+                names=["doc_id", "n_bytes", "n_chars", "n_tokens", "width", "steps"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, STORE)
 
 
-def prefix_counts(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: counts, the tokens of its first 0, 1, 2, ... characters."""
-    path = model or P.default_model()
+def stored_counts(width: int, steps) -> np.ndarray:
+    """Token counts of the first 0, 1, 2, ... characters of a stored document."""
+    return np.concatenate([[0], np.cumsum(np.frombuffer(steps, np.int8 if width == 1 else "<i4"), dtype=np.int64)])
+
+
+def fit(store: DataFrame, budget: int | str) -> DataFrame:
+    """The rows of a store and fit_chars: the longest prefix (in characters) of at most ``budget`` tokens, a number or a column.
+
+    No text is read.  A null or negative budget fits nothing.
+    """
+    told = F.col(budget) if isinstance(budget, str) else F.lit(budget)
+    asked = store.withColumn("fit_chars", F.greatest(F.coalesce(told.cast("long"), F.lit(0)), F.lit(0)))
+    # whole documents that fit need no look at their steps
+    return _answered(asked, "fit_chars", lambda counts, most: np.flatnonzero(counts <= most)[-1], whole=lambda n_chars, n_tokens, most: np.where(n_tokens <= most, n_chars, -1))
+
+
+def cost(store: DataFrame, chars: int | str) -> DataFrame:
+    """The rows of a store and prefix_tokens: the tokens of the first ``chars`` characters, a number or a column, of all if there are fewer."""
+    told = F.col(chars) if isinstance(chars, str) else F.lit(chars)
+    asked = store.withColumn("prefix_tokens", F.greatest(F.coalesce(told.cast("long"), F.lit(0)), F.lit(0)))
+    return _answered(asked, "prefix_tokens", lambda counts, at: counts[min(at, len(counts) - 1)], whole=lambda n_chars, n_tokens, at: np.where(at >= n_chars, n_tokens, -1))
+
+
+def _answered(asked: DataFrame, name: str, answer: Callable[[np.ndarray, int], int], whole: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """The question in column ``name`` replaced by its answer."""
+    at = {c: asked.columns.index(c) for c in ("n_chars", "n_tokens", "width", "steps", name)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_chars, n_tokens, question = (batch.column(at[c]).to_numpy() for c in ("n_chars", "n_tokens", name))
+            out = whole(n_chars, n_tokens, question).astype(np.int64)
+            for i in np.flatnonzero(out < 0).tolist():
+                out[i] = answer(stored_counts(batch.column(at["width"])[i].as_py(), batch.column(at["steps"])[i].as_buffer()), int(question[i]))
+            yield batch.set_column(at[name], name, pa.array(out))
+
+    return asked.mapInArrow(run, asked.schema)
+
+
+def token_counts(docs: DataFrame, model: str | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: n_bytes, n_tokens, over_limit, and fit_chars (characters that fit the limit), read from stored prefix counts."""
+    return answers(stash(prefix_store(docs, model, id_col, text_col), "prefixes"), limit)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(path)
-        for batch in X.slices(batches):
-            counts = [own.all_prefixes(t) for t in P.texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "counts"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, "doc_id bigint, counts array<int>")
+def answers(store: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """The same from a store."""
+    return fit(store, limit).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fit_chars")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text."""
-    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return token_counts(read_table(spark, f"{sf_dir}/documents.parquet"))

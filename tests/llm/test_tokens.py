@@ -10,6 +10,8 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from profilum.llm import pieces, sampling, token_counts
 
 ALPHABET = "ab eéßñ the ing\n\t.,!#$|0123<s>▁  \x00ﬁ１中文字😀한"
@@ -27,15 +29,16 @@ def test_counts_of_all_prefixes(library, text):
     assert counter.all_prefixes(text).tolist() == [len(library.encode(text[:i])) for i in range(len(text) + 1)]
 
 
-def test_counts_of_prose(library):
+def test_steps_of_many_texts_sum_up_to_their_prefix_counts(library):
     rng = random.Random(2)
-    texts = ["".join(rng.choice(["the ", "tion", "ing ", "wh", "qu", "é", "ß", "ñ ", ". ", "!!\n"]) for _ in range(rng.randrange(300))) for _ in range(200)]
+    texts = ["".join(rng.choice(["the ", "tion", "ing ", "wh", "qu", "é", "ß", "ñ ", ". ", "!!\n", "中", "\x00"]) for _ in range(rng.randrange(300))) for _ in range(200)]
+    texts += ["", "a", " ", "x" * 3000]
     counter = token_counts.counter(pieces.default_model())
-    tokens, fits = counter.counts(texts, 100)
-    assert tokens.tolist() == [len(x) for x in library.encode(texts)]
-    for text, n, fit in zip(texts, tokens, fits):
-        counts = counter.all_prefixes(text)
-        assert fit == (len(text) if n <= 100 else int(np.argmax(counts > 100)) - 1)
+    step, rows = counter.steps(texts)
+    assert np.diff(rows).tolist() == [len(t) for t in texts]
+    assert [int(step[a:b].sum()) for a, b in zip(rows[:-1], rows[1:])] == [len(x) for x in library.encode(texts)]
+    for i in range(0, len(texts), 17):
+        assert np.cumsum(np.append(0, step[rows[i] : rows[i + 1]])).tolist() == counter.all_prefixes(texts[i]).tolist()
 
 
 def test_token_query_and_odd_rows(odd, none, library):
@@ -43,7 +46,50 @@ def test_token_query_and_odd_rows(odd, none, library):
     want = collections.Counter((r["doc_id"], len((r["text"] or "").encode()), n := len(library.encode(r["text"] or "")), n > 4096) for r in odd.collect())
     assert got == want
     assert token_counts.token_counts(none).count() == 0
-    assert token_counts.prefix_counts(odd.where("doc_id = 6")).first()["counts"] == [len(library.encode("one"[:i])) for i in range(4)]
+
+
+@pytest.mark.parametrize("budget", [0, 1, 7, 50, 100000])
+def test_budget_and_prefix_questions_from_the_store(odd, none, library, budget, tmp_path):
+    texts = collections.defaultdict(list)
+    for r in odd.where("doc_id <> 11").collect():
+        texts[r["doc_id"]].append(r["text"] or "")
+    path = str(tmp_path / "store")
+    token_counts.prefix_store(odd.where("doc_id <> 11")).write.parquet(path)
+    store = odd.sparkSession.read.parquet(path)
+    fits, costs = collections.defaultdict(list), collections.defaultdict(list)
+    for r in token_counts.fit(store, budget).collect():
+        fits[r["doc_id"]].append(r["fit_chars"])
+    for r in token_counts.cost(store.withColumn("asked", F.col("n_chars") - 1), "asked").collect():
+        costs[r["doc_id"]].append(r["prefix_tokens"])
+    for d, own in texts.items():
+        assert sorted(fits[d]) == sorted(max(i for i in range(len(t) + 1) if len(library.encode(t[:i])) <= budget) for t in own)
+        assert sorted(costs[d]) == sorted(len(library.encode(t[: max(len(t) - 1, 0)])) for t in own)
+    assert token_counts.fit(token_counts.prefix_store(none), budget).count() == 0
+
+
+def test_other_models_are_refused():
+    class Unigram:
+        get_piece_size = lambda self: 2
+        get_score = lambda self, i: -1.5
+        is_byte = is_control = is_unknown = is_unused = lambda self, i: False
+
+    with pytest.raises(ValueError):
+        pieces._check(Unigram(), "a.model")
+
+
+def test_draws_do_not_depend_on_the_batch():
+    own = sampling.sampler(pieces.default_model(), 1.0, 5)
+    rng = random.Random(8)
+    long_, short = (np.frombuffer((" " + "".join(rng.choice("abcdeés .,the ing") for _ in range(n))).encode("utf-32-le"), np.uint32) for n in (5000, 40))
+    _, _, reach, first = own.lattice(np.concatenate([long_, short]), np.array([0, len(long_), len(long_) + len(short)]))
+    _, _, alone, first_alone = own.lattice(short, np.array([0, len(short)]))
+    for i in range(len(short)):
+        a, b = first[len(long_) + i], first_alone[i]
+        while True:
+            assert reach[a] == alone[b]
+            if alone[b] == 2.0:
+                break
+            a, b = a + 1, b + 1
 
 
 @settings(max_examples=150, deadline=None)
