@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from profilum.sources.tables import read_table
+
 MARKS = {"user": "INST", "assistant": "OUT", "system": "SYS"}
 LOSS_ROLE = "assistant"
 
@@ -140,7 +142,7 @@ def chat_digest(rows: DataFrame) -> DataFrame:
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one made of control strings."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    rows = read_table(spark, f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return chat_digest(rows.unionByName(more))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilum.llm import text as X
+from profilum.sources.tables import read_table
 
 WINDOW = 10
 #: Bytes of phrase arrays in one broadcast.
@@ -270,7 +271,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW, bl
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item."""
-    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs, items = read_table(spark, f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate(docs, items).drop("hit_spans", "near")
 
 

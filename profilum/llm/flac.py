@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilum.llm import text as X
+from profilum.sources.tables import read_table
 
 BLOCK = 192
 #: Frames between two seek points.
@@ -681,4 +682,4 @@ def media_digest(media: DataFrame) -> DataFrame:
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as a FLAC stream, read back."""
-    return media_digest(encode_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return media_digest(encode_media(read_table(spark, f"{sf_dir}/documents.parquet")))

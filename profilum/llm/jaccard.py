@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from profilum.llm import text as X
 from profilum.llm.components import components
 from profilum.llm.shared import stash
+from profilum.sources.tables import read_table
 
 SHINGLE = 5
 #: The similarity threshold as a fraction.
@@ -470,7 +471,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against each other."""
-    return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return similar_documents(read_table(spark, f"{sf_dir}/documents.parquet"))
 
 
 ORACLE_SQL = r"""

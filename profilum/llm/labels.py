@@ -17,7 +17,9 @@ def remainder(modulus: int, id_col: str = "doc_id") -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, text, label of about ``bound`` labelled rows among those that ``learn`` admits; doc_id decides which.
 
-    A document with several labels counts with the largest, one with a null label not at all.
+    A document with several labels counts with the largest, one with a null label not at all.  Of several texts under one
+    id the one of least hash is taken (the first in order among equal hashes), a null text as empty, so that there are
+    never more rows than labelled ids.
     """
     known = labels.where(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     n = known.count()
@@ -25,4 +27,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * bound / n))
     # at most about ``bound`` rows of two numbers each
     chosen = F.broadcast(known) if bound <= 1 << 18 else known
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(chosen, "doc_id")
+    return found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"), F.max("label").alias("label")).select("doc_id", "least.text", "label")

@@ -29,6 +29,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from profilum.sources.tables import read_table
+
 THRESHOLD = 0.7
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -228,12 +230,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text against every template."""
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan(read_table(spark, f"{sf_dir}/documents.parquet"))
 
 
 def op7_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every run of words of every text against every template."""
-    return passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return passages(read_table(spark, f"{sf_dir}/documents.parquet"))
 
 
 def _oracle() -> str:

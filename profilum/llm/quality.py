@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from profilum.llm import text as X
 from profilum.llm.labels import SAMPLE_ROWS, labelled_sample, remainder
+from profilum.sources.tables import read_table
 
 STATISTICS = (
     "log_words", "mean_word", "spread_word", "log_lines", "words_a_line", "upper", "capitalised", "digits", "high_bytes", "spaces",
@@ -190,6 +191,6 @@ def quality_model(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS)
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text scored."""
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = read_table(spark, f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_documents(docs, quality_model(docs, labels))
     return scored.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

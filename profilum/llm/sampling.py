@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from profilum.llm import pieces as P
 from profilum.llm import text as X
+from profilum.sources.tables import read_table
 
 THETA = 1.0
 SEED = 20240229
@@ -242,4 +243,4 @@ def roundtrip(docs: DataFrame, model: str | None = None, theta: float = THETA, s
 
 def op4_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sampled segmentation of every whole text, and what it decodes to."""
-    return roundtrip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return roundtrip(read_table(spark, f"{sf_dir}/documents.parquet"))

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from profilum.llm import text as X
 from profilum.llm.shared import unused
+from profilum.sources.tables import read_table
 
 WINDOW, GRAM = 35, 20
 #: Cells of each of the two sketch rows, at least and at most (a bit each in the tasks), and cells an expected anchor gets.
@@ -351,7 +352,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All whole texts against each other."""
-    return dedup_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return dedup_digest(read_table(spark, f"{sf_dir}/documents.parquet"))
 
 
 ORACLE_SQL = r"""

@@ -9,7 +9,9 @@ over hashed words and word beginnings is then trained on the posterior labels,
 so it also scores documents that no voter knows.
 
 Everything is fitted on a bounded sample of labelled rows
-(``labels.SAMPLE_ROWS``); texts are the only input of a score.
+(``labels.SAMPLE_ROWS``); texts are the only input of a score.  ``Settings``
+holds what bounds the model: how many voters and features it has at most, and
+how much one feature counts in one text.  Each may be None, for no bound.
 
 Cases: null or empty texts get the score of a document without features;
 without labelled rows of both classes every score is the share of toxic ones
@@ -28,18 +30,34 @@ from pyspark.sql import functions as F
 
 from profilum.llm import text as X
 from profilum.llm.labels import SAMPLE_ROWS, labelled_sample, remainder
+from profilum.sources.tables import read_table
 
 BITS = 20
 PREFIXES = (4, 5, 6, 7, 8)
-#: Documents that a lexicon entry must occur in, least precision of its votes, and how many entries there are at most.
-SUPPORT, PRECISION, VOTERS = 4, 0.8, 300
 #: Occurrences in 100 words from which an entry may vote.
 DENSITIES = (0.0, 0.1, 0.3, 1.0)
-#: Features of the classifier at most; their densities are cut off here.
-FEATURES, CUT = 3000, 3.0
 
 
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Settings:
+    """Parameters of a fit."""
+
+    #: Documents of the sample that a lexicon entry or feature must occur in.
+    support: int = 4
+    #: Share of its votes that must be right for a lexicon entry to become a voter.
+    precision: float = 0.8
+    #: Voters at most: the lexicon entries that tell the classes apart best (by Welch's t) come first.
+    voters: int | None = 300
+    #: Features of the linear classifier at most, in the same order.
+    features: int | None = 3000
+    #: Occurrences in 100 words beyond which a feature counts no further, so that one repeated word does not decide alone.
+    cut: float | None = 3.0
+
+
+DEFAULT = Settings()
+
+
+def features(column: pa.Array, cut: float | None = DEFAULT.cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed words and word beginnings of each text (flat, distinct within a text), their occurrences in 100 words, and offsets."""
     lowered = pa.array([None if t is None else t.lower() for t in column.to_pylist()], pa.string())
     raw, starts, ends, rows, hashes = X.split_words(lowered, X.ALNUM, seed=5)
@@ -53,7 +71,8 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         owners.append(doc[longer])
     key = (np.concatenate(owners).astype(np.int64) << BITS) | (np.concatenate(parts) >> X.U64(64 - BITS)).astype(np.int64)
     key, count = np.unique(key, return_counts=True)
-    density = np.minimum(100.0 * count / np.diff(rows)[key >> BITS], CUT)
+    density = 100.0 * count / np.diff(rows)[key >> BITS]
+    density = density if cut is None else np.minimum(density, cut)
     return (key & (1 << BITS) - 1).astype(np.int32), density.astype(np.float32), np.searchsorted(key, np.arange(len(column) + 1, dtype=np.int64) << BITS)
 
 
@@ -131,11 +150,12 @@ class Model:
     weights: np.ndarray
     bias: float
     constant: float | None = None
+    cut: float | None = DEFAULT.cut
 
     def score(self, column: pa.Array) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(column), self.constant)
-        flat, value, offsets = features(column)
+        flat, value, offsets = features(column, self.cut)
         z = np.bincount(X.row_of(offsets), self.weights[flat] * value, len(column)) + self.bias
         return np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 9)
 
@@ -180,17 +200,18 @@ class Strength:
         return (mean[1] - mean[0]) / np.sqrt(spread), self.seen[1], self.seen[0]
 
 
-def choose_features(told: Strength) -> tuple[np.ndarray, np.ndarray]:
+def choose_features(told: Strength, settings: Settings = DEFAULT) -> tuple[np.ndarray, np.ndarray]:
     """The lexicon's candidates, and the features of the classifier."""
     t, in_toxic, in_clean = told.result()
-    order = np.argsort(-np.where(in_toxic >= min(SUPPORT, max(1, told.n[1] // 4)), t, 0), kind="stable")
-    lexicon = order[: VOTERS * 2]
-    worth = np.abs(t) * ((in_toxic + in_clean) >= SUPPORT)
-    chosen = np.argsort(-worth, kind="stable")[:FEATURES]
+    order = np.argsort(-np.where(in_toxic >= min(settings.support, max(1, told.n[1] // 4)), t, 0), kind="stable")
+    # twice as many candidates as voters, as not all are precise enough
+    lexicon = order if settings.voters is None else order[: settings.voters * 2]
+    worth = np.abs(t) * ((in_toxic + in_clean) >= settings.support)
+    chosen = np.argsort(-worth, kind="stable")[: settings.features]
     return lexicon[t[lexicon] > 1.5], chosen[worth[chosen] > 1]
 
 
-def fit(flat: np.ndarray, value: np.ndarray, offsets: np.ndarray, extra: np.ndarray, label: np.ndarray, lexicon: np.ndarray, chosen: np.ndarray) -> Model:
+def fit(flat: np.ndarray, value: np.ndarray, offsets: np.ndarray, extra: np.ndarray, label: np.ndarray, lexicon: np.ndarray, chosen: np.ndarray, settings: Settings = DEFAULT) -> Model:
     """The classifier of a labelled sample: its chosen features with densities, patterns and labels."""
     n = len(label)
     if n == 0 or label.min() == label.max():
@@ -209,7 +230,7 @@ def fit(flat: np.ndarray, value: np.ndarray, offsets: np.ndarray, extra: np.ndar
         sure = np.where(good >= 2, (good + 1) / (every + 2), 0)
         better = sure > best
         best[better], cut[better] = sure[better], density
-    used = np.flatnonzero(best >= PRECISION)[:VOTERS]
+    used = np.flatnonzero(best >= settings.precision)[: settings.voters]
     column = np.full(len(lexicon), -1)
     column[used] = np.arange(len(used))
     votes = np.zeros((n, len(used) + 3 + extra.shape[1]), np.int8)
@@ -233,10 +254,10 @@ def fit(flat: np.ndarray, value: np.ndarray, offsets: np.ndarray, extra: np.ndar
     w = fit_linear(number[flat[keep]], value[keep], short, posterior, len(chosen))
     weights = np.zeros(1 << BITS)
     weights[chosen] = w[:-1]
-    return Model(weights, float(w[-1]))
+    return Model(weights, float(w[-1]), cut=settings.cut)
 
 
-def fit_sample(sample: DataFrame) -> Model:
+def fit_sample(sample: DataFrame, settings: Settings = DEFAULT) -> Model:
     """Fits on the rows of ``labelled_sample``: one pass sums up all features, a second brings the chosen ones to the driver."""
     # the few sampled texts are brought together first: an iterator takes one partition after another
     near = sample.repartition(FIT_PARTS, "doc_id").sortWithinPartitions("doc_id")
@@ -244,7 +265,7 @@ def fit_sample(sample: DataFrame) -> Model:
     def rows(wanted):
         def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in X.slices(batches):
-                flat, value, offsets = features(batch.column(1))
+                flat, value, offsets = features(batch.column(1), settings.cut)
                 if wanted is not None:
                     kept = wanted.value[flat]
                     flat, value, offsets = flat[kept], value[kept], np.concatenate([[0], np.cumsum(kept)])[offsets]
@@ -257,7 +278,7 @@ def fit_sample(sample: DataFrame) -> Model:
     told = Strength()
     for flat, value, label, _ in rows(None):
         told.add(flat, value, label)
-    lexicon, chosen = choose_features(told)
+    lexicon, chosen = choose_features(told, settings)
     wanted = np.zeros(1 << BITS, bool)
     wanted[lexicon] = wanted[chosen] = True
     flats, values, labels, extras = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], [], []
@@ -267,7 +288,7 @@ def fit_sample(sample: DataFrame) -> Model:
         labels.append(label)
         extras.append(extra)
     offsets = np.cumsum([len(f) for f in flats], dtype=np.int64)
-    return fit(np.concatenate(flats), np.concatenate(values), offsets, np.array(extras).reshape(-1, 3), np.array(labels, np.int64), lexicon, chosen)
+    return fit(np.concatenate(flats), np.concatenate(values), offsets, np.array(extras).reshape(-1, 3), np.array(labels, np.int64), lexicon, chosen, settings)
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,13 +314,13 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
     return docs.mapInArrow(keep, docs.schema)
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Model:
+def toxicity_model(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS, settings: Settings = DEFAULT) -> Model:
     """Learnt from labelled rows whose crc32(doc_id) mod 5 isn't 0."""
-    return fit_sample(labelled_sample(docs, labels, "toxic", remainder(5) != 0, bound))
+    return fit_sample(labelled_sample(docs, labels, "toxic", remainder(5) != 0, bound), settings)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text scored."""
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = read_table(spark, f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_documents(docs, toxicity_model(docs, labels))
     return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

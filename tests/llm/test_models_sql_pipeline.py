@@ -1,15 +1,19 @@
 """Classifiers, SQL twins and the pipeline."""
 
 import collections
+import math
 import random
+import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from profilum.llm import quality, toxicity
+from profilum.llm import text as X
 from profilum.llm.labels import labelled_sample, remainder
 from profilum.llm.registry import ORACLES, QUERIES
 
@@ -124,6 +128,69 @@ def test_samples_are_bounded_and_leave_held_out_rows(tables):
     assert labelled_sample(docs, doubled, "toxic", remainder(5) != 0).count() == labelled_sample(docs, labels, "toxic", remainder(5) != 0).count()
 
 
+def test_many_texts_under_one_labelled_id_count_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, None), (None, "x")], "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r["text"] for r in labelled_sample(docs, labels, "toxic", F.lit(True)).collect()}
+    first = docs.where("doc_id = 1").select(F.min(F.struct(F.xxhash64("text"), "text"))["text"]).first()[0]
+    assert got == {1: first, 2: ""}
+
+
+TEXTS = ["", None, "One", "Vilest vilesten THE the, w1x! (naïve) 中文 [x] 12 45", "a | b | c!! #x\n\nsame line\nsame line\n  \t tab\x01", "word " * 300, "Ünïcode Wörter " * 7 + "end.\n"]
+
+
+def brute_toxicity(model, text):
+    words = [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())]
+    code = lambda b: int(X.word_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]), seed=5)[0])
+    seen = collections.Counter()
+    for w in words:
+        seen[code(w) >> (64 - toxicity.BITS)] += 1
+        for k in toxicity.PREFIXES:
+            if len(w) > k:
+                seen[int(X.mix64(np.array([(code(w[:k]) + k) % 2**64], X.U64))[0]) >> (64 - toxicity.BITS)] += 1
+    z = model.bias
+    for cell, n in seen.items():
+        density = 100.0 * n / len(words)
+        z += model.weights[cell] * np.float32(density if model.cut is None else min(density, model.cut))
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+@pytest.mark.parametrize("settings", [toxicity.DEFAULT, toxicity.Settings(voters=None, features=None, cut=None)])
+def test_toxicity_scores_against_brute_force(spark, tables, settings):
+    model = toxicity.toxicity_model(*tables, settings=settings)
+    assert np.abs(model.weights).max() > 0 and model.cut == settings.cut
+    docs = spark.createDataFrame(list(enumerate(TEXTS)) + [(100 + r["doc_id"], r["text"]) for r in tables[0].limit(40).collect()], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, model).collect()}
+    for r in docs.collect():
+        assert abs(got[r["doc_id"]] - brute_toxicity(model, r["text"])) < 1e-6
+
+
+def brute_statistics(text):
+    b = (text or "").encode()
+    words, lines = re.findall(rb"[^\x20\x09-\x0D]+", b), re.findall(rb"[^\n]+", b)
+    letters, size, n = max(sum(chr(c).isalpha() and c < 128 for c in b), 1), max(len(b), 1), max(len(words), 1)
+    count = lambda chars: sum(b.count(bytes([c])) for c in chars)
+    pairs = list(zip(words, words[1:]))
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / n
+    upper = range(0x41, 0x5B)
+    return [
+        math.log1p(len(words)), mean, math.sqrt(max(sum(k * k for k in lengths) / n - mean**2, 0)), math.log1p(len(lines)), n / max(len(lines), 1), count(upper) / letters, sum(w[0] in upper for w in words) / n,
+        count(b"0123456789") / size, sum(c >= 0x80 for c in b) / size, count(b" ") / size,
+        *(b.count(c.encode()) / n for c in ",.!?|#$%&*"), count(b"@^~_=+<>/\\") / n,
+        len(set(words)) / n, max(collections.Counter(words).values(), default=0) / n, 1 - len(set(pairs)) / max(n - 1, 1), 1 - len(set(lines)) / max(len(lines), 1),
+        sum(k <= 3 for k in lengths) / n, sum(k <= 2 for k in lengths) / n, sum(k >= 12 for k in lengths) / n, sum(w[-1] in b"#$%&*|!" for w in words) / n, sum(x == y for x, y in pairs) / n,
+        sum(c < 32 and c != 10 for c in b) / size, count(b"()[]{}") / size,
+    ]
+
+
+def test_quality_statistics_against_brute_force():
+    texts = TEXTS + [t for _, t in labelled(4, 60)[0]]
+    got = quality.statistics(pa.array(texts, pa.string()))
+    for row, text in zip(got, texts):
+        assert np.allclose(row, brute_statistics(text), atol=1e-9), text
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, name):
     connection = duckdb.connect()
