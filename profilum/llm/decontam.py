@@ -2,14 +2,18 @@
 
 ``build_index`` turns documents into index shards: each shard is one row that
 holds, for some whole documents, the posting list (word positions) of every
-term.  ``occurrences`` answers phrases from a shard alone: it starts at the
-posting list of the phrase's rarest term and intersects it with the
+term.  ``store_index`` writes them to the shared folder, once for any number
+of benchmarks.  ``occurrences`` answers phrases from a shard alone: it starts
+at the posting list of the phrase's rarest term and intersects it with the
 offset-adjusted lists of its other terms, rarest first; with ``slop`` every term
 may stand that many words from its place (proximity match), whichever is rarest.
 
-Shards hold whole documents, so nothing is shuffled.  The phrases are the
-stated query set: they reach the tasks by broadcast in blocks of bounded
-size, however many there are.
+The index is dealt by documents: a shard holds the lists of about as many
+words as any other, so the list of a frequent term is split over all shards,
+and no shuffle is needed to build or to ask it.  The phrases are the stated
+query set.  They come in blocks of whole items of bounded size, one after the
+other: the driver holds one block, broadcasts it, has its matches written and
+lets it go.  Only matches, by shard and document, are brought together.
 
 Cases: null or empty texts have no words and no hits; an item of fewer words
 than a window is one window, an item without words none; items that share an
@@ -20,6 +24,7 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,12 +35,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilum.llm import text as X
+from profilum.llm.shared import stash, unused
+from profilum.llm.substrings import text_key
 from profilum.sources.tables import read_table
 
 WINDOW = 10
 #: Bytes of phrase arrays in one broadcast.
 BLOCK_BYTES = 32 << 20
-INDEX_SCHEMA = "doc_ids array<bigint>, n_words array<int>, terms binary, sizes binary, postings binary"
+#: A shard: its documents' ids, text keys and sizes, distinct term hashes in order, how many postings each has, and the postings.
+INDEX_SCHEMA = "doc_ids array<bigint>, keys array<struct<k1:bigint,k2:bigint>>, n_words array<int>, terms binary, sizes binary, postings binary"
+#: What a block of phrases finds in a shard: covered word ranges, items and proximity matches of its documents.
+FOUND_SCHEMA = "shard bigint, spans array<struct<doc:int,from:int,to:int>>, items array<struct<doc:int,item:string>>, near array<struct<doc:int,item:string,position:int>>"
 
 
 @dataclass
@@ -47,11 +57,6 @@ class Phrases:
     items: np.ndarray
     names: list[str | None]
 
-    @property
-    def vocabulary(self) -> np.ndarray:
-        used = np.arange(self.terms.shape[1]) < self.lengths[:, None]
-        return np.unique(self.terms[used])
-
 
 def phrases_of(items: pa.Table, width: int = WINDOW) -> Phrases:
     """The windows of the items (columns item_id, text)."""
@@ -81,50 +86,35 @@ def phrases_of(items: pa.Table, width: int = WINDOW) -> Phrases:
     return Phrases(np.ascontiguousarray(kept[:, :width]), kept[:, width].astype(np.int64), kept[:, width + 1].astype(np.int64), names)
 
 
-class Vocabulary:
-    """Looks term hashes up in a sorted array, most misses by one table probe."""
-
-    def __init__(self, terms: np.ndarray) -> None:
-        self.terms = np.sort(terms)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.terms >> X.U64(44)).astype(np.int64)] = True
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of known hashes, and their term numbers."""
-        at = np.flatnonzero(self.maybe[(hashes >> X.U64(44)).astype(np.int64)])
-        if not len(at) or not len(self.terms):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        term = np.minimum(np.searchsorted(self.terms, hashes[at]), len(self.terms) - 1)
-        same = self.terms[term] == hashes[at]
-        return at[same], term[same]
-
-
-def build_index(docs: DataFrame, terms: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Index shards of the documents; with ``terms`` only the lists of those term hashes are stored."""
-    known = docs.sparkSession.sparkContext.broadcast(Vocabulary(terms)) if terms is not None else None
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Index shards of the documents: every posting of every term."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in X.slices(batches):
             _, _, _, rows, hashes = X.split_words(batch.column(1), X.ALNUM, lower=True)
-            if known is None:
-                order = np.argsort(hashes, kind="stable")
-                found, first = np.unique(hashes[order], return_index=True)
-                sizes, postings = np.diff(np.append(first, len(order))), order
-            else:
-                at, term = known.value.find(hashes)
-                postings = at[np.argsort(term, kind="stable")]
-                count = np.bincount(term, minlength=len(known.value.terms))
-                found, sizes = known.value.terms[count > 0], count[count > 0]
+            postings = np.argsort(hashes, kind="stable")
+            terms, first = np.unique(hashes[postings], return_index=True)
+            sizes = np.diff(np.append(first, len(postings)))
+            keys = pa.StructArray.from_arrays([batch.column(2), batch.column(3)], ["k1", "k2"])
+            whole = pa.array([0, batch.num_rows], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([batch.column(0).cast(pa.int64()).to_pylist()], pa.list_(pa.int64())),
-                    pa.array([np.diff(rows).astype(np.int32)], pa.list_(pa.int32())),
-                    *(pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in ((found, np.uint64), (sizes, np.int32), (postings, np.int32))),
+                    pa.ListArray.from_arrays(whole, batch.column(0)),
+                    pa.ListArray.from_arrays(whole, keys),
+                    pa.ListArray.from_arrays(whole, pa.array(np.diff(rows), pa.int32())),
+                    *(pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in ((terms, np.uint64), (sizes, np.int32), (postings, np.int32))),
                 ],
-                names=["doc_ids", "n_words", "terms", "sizes", "postings"],
+                names=["doc_ids", "keys", "n_words", "terms", "sizes", "postings"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(shards, INDEX_SCHEMA)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *(k.alias(n) for k, n in zip(text_key(text), ("k1", "k2"))))
+    return rows.mapInArrow(shards, INDEX_SCHEMA)
+
+
+def store_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The index, written to the shared folder; each shard has a number, which the written table keeps."""
+    return stash(build_index(docs, id_col, text_col).withColumn("shard", F.monotonically_increasing_id()), "postings")
 
 
 def occurrences(terms: np.ndarray, sizes: np.ndarray, postings: np.ndarray, bounds: np.ndarray, phrases: Phrases, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -187,86 +177,119 @@ def phrase_blocks(items: DataFrame, width: int = WINDOW, block_bytes: int = BLOC
         yield phrases_of(part.toArrow(), width)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, slop: int = 0) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, hit_spans (word ranges that are hit), and near.
+def matches(index: DataFrame, items: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, slop: int = 0) -> DataFrame:
+    """FOUND_SCHEMA of a stored index: one row for each shard and block of phrases that meet."""
+    context, found = index.sparkSession.sparkContext, []
+    for block in phrase_blocks(items, width, block_bytes):
+        sent = context.broadcast(block)
+
+        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            phrases = sent.value
+            names = np.array(phrases.names, object)
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    shard, counts = batch.column(0)[i].as_py(), batch.column(1)[i].values.to_numpy(zero_copy_only=False)
+                    terms, sizes, postings = (np.frombuffer(batch.column(k)[i].as_buffer(), kind) for k, kind in ((2, np.uint64), (3, np.int32), (4, np.int32)))
+                    bounds = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+                    which, start = occurrences(terms, sizes, postings, bounds, phrases)
+                    near = occurrences(terms, sizes, postings, bounds, phrases, slop) if slop else (which[:0], start[:0])
+                    if not len(which) and not len(near[0]):
+                        continue
+                    depth = np.zeros(bounds[-1] + 1, np.int64)
+                    np.add.at(depth, start, 1)
+                    np.add.at(depth, start + phrases.lengths[which], -1)
+                    from_, to, spans = X.runs(np.cumsum(depth)[:-1] > 0, bounds)
+                    owner = X.row_of(spans)
+                    pair = np.unique(np.column_stack([np.searchsorted(bounds, start, "right") - 1, phrases.items[which]]), axis=0).reshape(-1, 2)
+                    doc = np.searchsorted(bounds, near[1], "right") - 1
+                    close = np.unique(np.column_stack([doc, near[1] - bounds[doc], phrases.items[near[0]]]), axis=0).reshape(-1, 3)
+                    table = lambda **c: pa.StructArray.from_arrays(list(c.values()), list(c))
+                    number = lambda x: pa.array(x, pa.int32())
+                    name = lambda x: pa.array(names[x].tolist(), pa.string())
+                    lists = table(doc=number(owner), **{"from": number(from_ - bounds[owner]), "to": number(to - bounds[owner])}), table(doc=number(pair[:, 0]), item=name(pair[:, 1])), table(doc=number(close[:, 0]), item=name(close[:, 2]), position=number(close[:, 1]))
+                    yield pa.RecordBatch.from_arrays([pa.array([shard]), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)], names=["shard", "spans", "items", "near"])
+
+        found.append(stash(index.select("shard", "n_words", "terms", "sizes", "postings").mapInArrow(find, FOUND_SCHEMA), "matches"))
+        sent.unpersist()
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+ANSWER_SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, hit_spans array<struct<from:int,to:int>>, near array<struct<item:string,position:int>>"
 
-    near holds the proximity matches within ``slop`` words (item, and position
-    of the start), exact ones too, and is empty without slop.  The other
-    columns are about exact matches only.
-    """
-    context = docs.sparkSession.sparkContext
-    blocks = list(phrase_blocks(items, width, block_bytes))
-    vocabulary = np.unique(np.concatenate([b.vocabulary for b in blocks]))
-    sent = [context.broadcast(b) for b in blocks]
+
+def answers(index: DataFrame, items: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, slop: int = 0) -> DataFrame:
+    """``decontaminate`` from a stored index; no text is read."""
+    found = matches(index, items, width, block_bytes, slop)
+    # what the blocks found in one shard, which holds a bounded number of words
+    by_shard = found.groupBy("shard").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near")))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                counts = row.column(1)[0].values.to_numpy(zero_copy_only=False)
-                terms, sizes, postings = (np.frombuffer(row.column(k)[0].as_buffer(), kind) for k, kind in ((2, np.uint64), (3, np.int32), (4, np.int32)))
-                bounds = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-                depth = np.zeros(bounds[-1] + 1, np.int32)
-                named: dict[int, set[str | None]] = {}
-                close: list[set[tuple[int, str | None]]] = [set() for _ in counts]
-                for part in sent:
-                    if slop:
-                        which, start = occurrences(terms, sizes, postings, bounds, part.value, slop)
-                        doc = np.searchsorted(bounds, start, "right") - 1
-                        for d, at, item in zip(doc.tolist(), (start - bounds[doc]).tolist(), part.value.items[which].tolist()):
-                            close[d].add((at, part.value.names[item]))
-                    which, start = occurrences(terms, sizes, postings, bounds, part.value)
-                    np.add.at(depth, start, 1)
-                    np.add.at(depth, start + part.value.lengths[which], -1)
-                    doc = np.searchsorted(bounds, start, "right") - 1
-                    for d, item in np.unique(np.column_stack([doc, part.value.items[which]]), axis=0).tolist():
-                        named.setdefault(d, set()).add(part.value.names[item])
-                hit = np.cumsum(depth)[:-1] > 0
-                total = np.concatenate([[0], np.cumsum(hit)])
-                n_hit = total[bounds[1:]] - total[bounds[:-1]]
-                from_, to, spans = X.runs(hit, bounds)
-                from_, to = from_ - np.repeat(bounds[:-1], np.diff(spans)), to - np.repeat(bounds[:-1], np.diff(spans))
-                pairs = pa.StructArray.from_arrays([pa.array(from_, pa.int32()), pa.array(to, pa.int32())], ["from", "to"])
-                lists = [sorted(x for x in named.get(d, ()) if x is not None) for d in range(len(counts))]
+            for ids, counts, spans, named, near in zip(*(c for c in batch.columns)):
+                counts = counts.values.to_numpy(zero_copy_only=False)
+                n = len(counts)
+                hit, covered, lists, close = np.zeros(n, np.int64), [[] for _ in range(n)], [set() for _ in range(n)], [[] for _ in range(n)]
+                for s in merged(spans.as_py() or ()):
+                    covered[s[0]].append({"from": s[1], "to": s[2]})
+                    hit[s[0]] += s[2] - s[1]
+                for m in named.as_py() or ():
+                    lists[m["doc"]].add(m["item"])
+                for m in near.as_py() or ():
+                    close[m["doc"]].append({"item": m["item"], "position": m["position"]})
                 yield pa.RecordBatch.from_arrays(
                     [
-                        row.column(0)[0].values,
+                        ids.values,
                         pa.array(counts, pa.int64()),
-                        pa.array(n_hit, pa.int64()),
-                        pa.array([len(named.get(d, ())) for d in range(len(counts))], pa.int64()),
-                        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists]),
-                        pa.array(n_hit > 0),
-                        pa.ListArray.from_arrays(pa.array(spans, pa.int32()), pairs),
-                        pa.array([[{"item": x, "position": at} for at, x in sorted(c, key=lambda m: (m[0], m[1] is None, m[1] or ""))] for c in close], pa.list_(pa.struct([("item", pa.string()), ("position", pa.int32())]))),
+                        pa.array(hit),
+                        pa.array([len(x) for x in lists], pa.int64()),
+                        pa.array([hashlib.sha256(",".join(sorted(i for i in x if i is not None)).encode()).hexdigest() for x in lists]),
+                        pa.array(hit > 0),
+                        pa.array(covered, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))),
+                        pa.array([sorted(c, key=lambda m: (m["position"], m["item"] is None, m["item"] or "")) for c in close], pa.list_(pa.struct([("item", pa.string()), ("position", pa.int32())]))),
                     ],
                     names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans", "near"],
                 )
 
-    schema = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, hit_spans array<struct<from:int,to:int>>, near array<struct<item:string,position:int>>"
-    return build_index(docs, vocabulary).mapInArrow(answer, schema)
+    return index.select("shard", "doc_ids", "n_words").join(by_shard, "shard", "left").select("doc_ids", "n_words", "spans", "items", "near").mapInArrow(answer, ANSWER_SCHEMA)
+
+
+def merged(spans: list[dict]) -> Iterator[tuple[int, int, int]]:
+    """Word ranges (document, from, to) joined where they meet or overlap."""
+    open_ = None
+    for doc, from_, to in sorted((s["doc"], s["from"], s["to"]) for s in spans):
+        if open_ and open_[0] == doc and from_ <= open_[2]:
+            open_ = doc, open_[1], max(open_[2], to)
+        else:
+            if open_:
+                yield open_
+            open_ = doc, from_, to
+    if open_:
+        yield open_
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, slop: int = 0) -> DataFrame:
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, hit_spans (word ranges that are hit), and near.
+
+    near holds the proximity matches within ``slop`` words (item, and position
+    of the start), exact ones too, and is empty without slop.  The other
+    columns are about exact matches only.
+    """
+    return answers(store_index(docs), items, width, block_bytes, slop)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text", slop: int = 0) -> DataFrame:
-    """The rows, with all their columns, in which no phrase of the items occurs; with slop, none nearly."""
-    context = docs.sparkSession.sparkContext
-    blocks = list(phrase_blocks(items, width, block_bytes))
-    known = context.broadcast(Vocabulary(np.unique(np.concatenate([b.vocabulary for b in blocks]))))
-    sent = [context.broadcast(b) for b in blocks]
-    at = docs.columns.index(text_col)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in X.slices(batches, text_col):
-            _, _, _, rows, hashes = X.split_words(batch.column(at).cast(pa.string()), X.ALNUM, lower=True)
-            place, term = known.value.find(hashes)
-            postings = place[np.argsort(term, kind="stable")]
-            count = np.bincount(term, minlength=len(known.value.terms))
-            clean = np.ones(batch.num_rows, bool)
-            for part in sent:
-                _, start = occurrences(known.value.terms[count > 0], count[count > 0], postings, rows, part.value, slop)
-                clean[np.searchsorted(rows, start, "right") - 1] = False
-            yield batch.filter(pa.array(clean))
-
-    return docs.mapInArrow(keep, docs.schema)
+    """The rows, with all their columns, in which no phrase of the items occurs; with slop, none nearly.
+
+    Decisions belong to texts: rows go by the key of a text that an index shard answered for.
+    """
+    index = store_index(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    place = "near" if slop else "spans"
+    met = matches(index, items, width, block_bytes, slop).select("shard", F.explode(F.array_distinct(F.col(place)["doc"])).alias("doc"))
+    keys = index.select("shard", F.posexplode("keys").alias("doc", "key")).join(met.distinct(), ["shard", "doc"], "left_semi")
+    names = unused(docs.columns, "k1", "k2")
+    bad = stash(keys.select(F.col("key.k1").alias(names[0]), F.col("key.k2").alias(names[1])).distinct(), "contaminated")
+    own = text_key(F.col(text_col).cast("string"))
+    return docs.join(bad, (own[0] == F.col(names[0])) & (own[1] == F.col(names[1])), "left_anti")
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

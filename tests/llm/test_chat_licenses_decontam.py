@@ -206,4 +206,23 @@ def test_index_of_all_terms(spark, odd):
     assert sum(len(s["doc_ids"]) for s in shards) == 20
     words = collections.Counter(len(norm(r["text"])) for r in odd.collect())
     assert collections.Counter(n for s in shards for n in s["n_words"]) == words
+    assert sum(len(s["postings"]) // 4 for s in shards) == sum(n * k for n, k in words.items())
     assert rows_of(odd.select("doc_id")) == sorted([(i,) for s in shards for i in s["doc_ids"]], key=str)
+
+
+def test_one_stored_index_answers_any_benchmark(spark, doc):
+    rng = random.Random(9)
+    texts = [prose(rng, 80) for _ in range(20)]
+    index = decontam.store_index(doc(texts))
+    for seed in (1, 2):
+        own = random.Random(seed)
+        items = [(i, " ".join(own.choice(texts).split()[10 : 10 + own.randrange(3, 30)])) for i in range(5)] + [(9, prose(own, 12))]
+        got = {r[0]: tuple(r[1:6]) for r in decontam.answers(index, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+        assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
+
+
+def test_rows_go_by_text_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 1, 2), (1, "x", 3, 4), (None, "a b c d", 5, 6), (2, None, 7, 8), (2, "", 9, 9)], "doc_id bigint, text string, k1 int, K2 int")
+    items = spark.createDataFrame([(1, "b c")], "item_id bigint, text string")
+    kept = decontam.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and sorted(r["k1"] for r in kept.collect()) == [3, 7, 9]
