@@ -9,10 +9,10 @@ are never compared.  It also needs more than t / (2 - t) of the template's
 bigrams, so a document in which none of a set of words occurs that touches
 enough bigrams of each template is not cut up at all.  Neither bound loses a match.
 
-``scan`` keeps to these units, as its SQL twin does.  ``passages`` finds a
-licence wherever it stands: it also compares every run of successive words, over
-line and paragraph ends and inside lines, of up to (2 - t) / t times as many
-bigrams, repeats counted, as the template has.
+``passages`` finds a licence wherever it stands: it also compares every run of
+successive words, over line and paragraph ends and inside lines, of up to
+(2 - t) / t times as many bigrams, repeats counted, as the template has.  ``scan``
+keeps to the units above.
 
 Everything happens within a row: no shuffle, no join.
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +101,12 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
+def widest(threshold: float) -> Fraction:
+    """How many times as long as a template a run may be, as an exact fraction."""
+    t = Fraction(str(threshold))
+    return (2 - t) / t
+
+
 def _table(templates: dict[str, str], threshold: float) -> list[Column]:
     """Name, bounds of the size and bigrams of each template; reach is the longest run of bigrams compared to it."""
     table = []
@@ -107,7 +114,7 @@ def _table(templates: dict[str, str], threshold: float) -> list[Column]:
         pairs = bigrams_of(templates[name])
         if pairs:
             low, high = threshold / (2 - threshold) * len(pairs), (2 - threshold) / threshold * len(pairs)
-            reach = int((2 - threshold) / threshold * (len(words_of(templates[name])) - 1))
+            reach = int(widest(threshold) * (len(words_of(templates[name])) - 1))
             fields = F.lit(name).alias("name"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(reach).alias("reach"), F.array(*map(F.lit, pairs)).alias("pairs")
             table.append(F.struct(*fields))
     return table
@@ -229,36 +236,51 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
 
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text against every template."""
-    return scan(read_table(spark, f"{sf_dir}/documents.parquet"))
-
-
-def op7_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every run of words of every text against every template."""
-    return passages(read_table(spark, f"{sf_dir}/documents.parquet"))
+    """Every unit and every run of words of every whole text against every template."""
+    found = passages(read_table(spark, f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_licenses", "best_license", "best_dice", "licenses", F.size("passages").cast("long").alias("n_passages"))
 
 
 def _oracle() -> str:
+    """Units as lists, and runs as pairs of a first and a last word pair counted by windows over word positions."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in sorted(TEMPLATES.items()))
     pairs = "list_distinct(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))"
     normal = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' ')"
+    far = widest(THRESHOLD)
     return f"""
 WITH t AS (
-  SELECT name, {pairs} AS b FROM (SELECT name, string_split({normal.format("text")}, ' ') AS w FROM (VALUES {rows}) AS v(name, text))),
+  SELECT name, {pairs} AS b, (len(w) - 1) * {far.numerator} // {far.denominator} AS reach
+  FROM (SELECT name, string_split({normal.format("text")}, ' ') AS w FROM (VALUES {rows}) AS v(name, text))),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 u AS (
-  SELECT DISTINCT doc_id, {normal.format("part")} AS part FROM (
-    SELECT doc_id, unnest(list_concat([text], regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), string_split(text, chr(10)))) AS part
-    FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))),
+  SELECT DISTINCT doc_id, {normal.format("part")} AS part
+  FROM (SELECT doc_id, unnest(list_concat([text], regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), string_split(text, chr(10)))) AS part FROM d)),
 b AS (SELECT doc_id, {pairs} AS b FROM (SELECT doc_id, string_split(part, ' ') AS w FROM u)),
-m AS (
+units AS (
   SELECT doc_id, name, 2.0 * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS dice
   FROM b JOIN t ON len(b.b) BETWEEN {THRESHOLD} / (2 - {THRESHOLD}) * len(t.b) AND (2 - {THRESHOLD}) / {THRESHOLD} * len(t.b)),
+tb AS (SELECT name, unnest(b) AS k FROM t),
+w AS (SELECT doc_id, string_split({normal.format("text")}, ' ') AS w FROM d),
+p AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 1))) AS i FROM w)),
+hits AS (SELECT doc_id, name, i FROM p JOIN tb USING (k)),
+near AS (
+  SELECT doc_id, name FROM p JOIN tb USING (k) JOIN t USING (name)
+  GROUP BY doc_id, name, len(t.b) HAVING count(DISTINCT k) >= {THRESHOLD} / (2 - {THRESHOLD}) * len(t.b) - 0.5),
+pl AS (SELECT doc_id, i, k, coalesce(lag(i) OVER (PARTITION BY doc_id, k ORDER BY i), 0) AS before FROM p WHERE doc_id IN (SELECT doc_id FROM near)),
+step AS (
+  SELECT s.doc_id, s.name, s.i AS a, pl.i, pl.before < s.i AS new, h.i IS NOT NULL AS known
+  FROM hits s JOIN near USING (doc_id, name) JOIN t USING (name) JOIN pl ON pl.doc_id = s.doc_id AND pl.i BETWEEN s.i AND s.i + t.reach - 1
+  LEFT JOIN hits h ON h.doc_id = s.doc_id AND h.name = s.name AND h.i = pl.i),
+grown AS (
+  SELECT doc_id, name, sum(CAST(new AS INTEGER)) OVER o AS n, sum(CAST(new AND known AS INTEGER)) OVER o AS hits
+  FROM step WINDOW o AS (PARTITION BY doc_id, name, a ORDER BY i ROWS UNBOUNDED PRECEDING)),
+runs AS (SELECT doc_id, name, max(2.0 * hits / (n + len(t.b))) AS dice FROM grown JOIN t USING (name) GROUP BY doc_id, name HAVING max(2.0 * hits / (n + len(t.b))) >= {THRESHOLD}),
 g AS (
-  SELECT doc_id, count(*) AS n, first(name ORDER BY dice DESC, name) AS best, max(dice) AS dice, string_agg(DISTINCT name, ',' ORDER BY name) AS names
-  FROM m WHERE dice >= {THRESHOLD} GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n, 0) AS n_matches, best AS best_license, round(CAST(coalesce(dice, 0) AS DOUBLE), 6) AS best_dice, coalesce(names, '') AS licenses
-FROM documents d LEFT JOIN g USING (doc_id)
+  SELECT doc_id, count(DISTINCT name) AS n, first(name ORDER BY dice DESC, name) AS best, max(dice) AS dice, string_agg(DISTINCT name, ',' ORDER BY name) AS names
+  FROM (SELECT * FROM units WHERE dice >= {THRESHOLD} UNION ALL SELECT * FROM runs) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(g.n, 0) AS n_licenses, best AS best_license, round(CAST(coalesce(g.dice, 0) AS DOUBLE), 6) AS best_dice, coalesce(names, '') AS licenses, coalesce(r.n, 0) AS n_passages
+FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id) r USING (doc_id)
 """
 
 

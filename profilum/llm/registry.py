@@ -10,7 +10,6 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_substring_dedup": substrings.op6_substring_dedup,
     "op7_license_scans": licenses.op7_license_scans,
-    "op7_license_passages": licenses.op7_license_passages,
     "op8_token_counts": token_counts.op8_token_counts,
     "op10_quality_classifier": quality.op10_quality_classifier,
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,

@@ -226,3 +226,22 @@ def test_rows_go_by_text_with_clashing_names(spark):
     items = spark.createDataFrame([(1, "b c")], "item_id bigint, text string")
     kept = decontam.drop_contaminated(docs, items)
     assert kept.columns == docs.columns and sorted(r["k1"] for r in kept.collect()) == [3, 7, 9]
+
+
+def test_licence_query_equals_its_sql_on_planted_texts(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(4)
+    code = "\n".join(f"x{i} = f({rng.randrange(99)})" for i in range(60))
+    texts = [f"Copyright (c) 2020 A\n\n{t.replace(chr(10), chr(10) * 2)}\n\n{code}" for t in licenses.TEMPLATES.values()]
+    texts += [f"{prose(rng, 9)} {t} {prose(rng, 9)}" for t in licenses.TEMPLATES.values()] + ["\n".join(f"# {line}" for line in licenses.TEMPLATES["GPL-3.0-header"].split(". ")), code, "", None, "the of the of " * 400]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(licenses.ORACLE_SQL)
+    columns = want.columns
+    got = licenses.op7_license_scans(spark, str(tmp_path)).select(*columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
+    # every one is found, in its usual layout and inside a line
+    named = {r["doc_id"]: r["licenses"].split(",") for r in got.collect()}
+    assert all(name in named[i + k] for i, name in enumerate(licenses.TEMPLATES) for k in (0, len(licenses.TEMPLATES)))
