@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profilum.llm.shared import stash
+from profilum.llm.shared import discard, same_stash, stash
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -27,11 +27,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = _least(large)
+        before = now
         now = stash(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         new = now.agg(F.count(F.lit(1)), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0)), F.coalesce(F.expr("sum(cast(pmod(xxhash64(v, u), 1000003) as bigint))"), F.lit(0))).first()
+        discard(before)
         if mark == new or new[0] == 0:
             break
         mark = new
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return same_stash(now.select(F.col("u").alias("node"), F.col("v").alias("root")), now)

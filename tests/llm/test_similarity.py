@@ -87,8 +87,11 @@ def test_links_of_odd_rows(odd, none):
     assert jaccard.similar_documents(none).count() == 0
 
 
-def test_blocks_lose_no_link(doc, monkeypatch):
+@pytest.mark.parametrize("small", [2, 6, 64])
+def test_blocks_and_single_pairs_lose_no_link(doc, monkeypatch, small):
+    """Large clusters taken apart: cores in blocks, and pairs of values that few sets share."""
     monkeypatch.setattr(jaccard, "PER_TASK", 900)
+    monkeypatch.setattr(jaccard, "SMALL", small)
     rows = list(enumerate(near_copies(5)))
     got = collections.Counter(map(tuple, jaccard.similar_documents(doc([t for _, t in rows])).collect()))
     assert got == brute_links(rows)
@@ -118,9 +121,35 @@ def test_every_similar_pair_shares_an_index_value(q):
             assert chosen[0] & chosen[1], (n, len(a), len(b))
 
 
-def test_allocation_uses_neighbourhoods_where_segments_lack():
-    assert jaccard.allocate({9: 10_000})[9] == 0
-    assert jaccard.allocate({1: 100_000})[1] > 0
+def test_hot_values_lose_no_link(doc, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 6)
+    rows = list(enumerate(near_copies(6)))
+    docs = doc([t for _, t in rows])
+    assert len(jaccard.hot_values(docs, jaccard.Signatures({}), 10)) > 0
+    got = collections.Counter(map(tuple, jaccard.similar_documents(docs).collect()))
+    assert got == brute_links(rows)
+
+
+def test_allocation_uses_neighbourhoods_where_segments_lack(monkeypatch):
+    assert jaccard.allocate({9: 10_000})[9] == 0 and jaccard.allocate({2: 10**9})[2] == 0
+    monkeypatch.setattr(jaccard, "segments_of", lambda upper: upper)
+    assert jaccard.allocate({2: 10**6})[2] > 0
+
+
+@pytest.mark.parametrize("q", [0, 1])
+def test_no_value_is_common_to_unlike_small_sets(q):
+    """Random sets of one size: no value but by chance, neither of empty segments nor of nearly empty neighbourhoods."""
+    own = jaccard.Signatures({b: q for b in range(12)})
+    rng = np.random.default_rng(1)
+    # smaller sets get no neighbourhoods from ``allocate``
+    for n in (3, 4, 5, 6, 7, 8, 12, 20, 40) if q == 0 else (20, 40, 80):
+        flat = np.sort(rng.integers(1, 2**63, (3000, n), dtype=np.uint64), axis=1).ravel()
+        seen = []
+        for table, owner, value, kind in own.values(flat, np.arange(0, len(flat) + 1, n), np.arange(3000)):
+            need = table["need"].astype(int)
+            seen.append(value[(kind != jaccard.EMPTY) | (table["full"] < need)[owner]])
+        counts = np.unique(np.concatenate(seen), return_counts=True)[1]
+        assert counts.max() <= 8, n
 
 
 def test_components_of_chains_stars_and_loops(spark):
