@@ -1,5 +1,12 @@
 """A corpus from raw documents: toxic ones go, one of each near-duplicate group stays, repeated passages and
-benchmark passages go, and what is left is cut into pieces."""
+benchmark passages go, and what is left is cut into pieces.
+
+Cases, for the chain as for each stage: a null or empty text is scored like any other, is no copy of another, loses no
+words, shares none with the benchmark, and has no pieces, so it stays, once for each id; a row without an id takes part
+and stays if its group has no row with one; repeated rows are copies of each other, so one stays; texts of any length
+are worked on whole; an empty table of documents, labels or benchmark items works; more columns, by any name, are kept
+by all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilum.llm import decontam, jaccard, sampling, substrings, toxicity
-from profilum.llm.shared import stash
+from profilum.llm.shared import discard, stash
+from profilum.sources.tables import read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +59,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each over what the one before it wrote."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stash(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
