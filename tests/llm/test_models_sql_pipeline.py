@@ -232,3 +232,27 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert set(d) == {i for i, t in c.items() if not brute_hits(t, items)[-1]}
     assert {r["doc_id"]: r["lossless"] for r in seen[kept[4]].collect()} == {i: True for i in d}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(d)
+
+
+@pytest.mark.parametrize("empty", [(), ("labels", "benchmark"), ("documents", "labels", "benchmark")])
+def test_pipeline_of_odd_rows_and_empty_tables(spark, odd, none, tmp_path, empty):
+    labels = spark.createDataFrame([(1, 0, 0), (7, 1, 0), (None, 1, 1), (9, 1, None)], "doc_id bigint, quality int, toxic int")
+    items = spark.createDataFrame([(1, "w1x w2x w3x never here"), (None, None), (2, "")], "item_id bigint, text string")
+    renamed = lambda t: t.withColumnsRenamed({"k1": "text_k1", "sid": "KEPT_ID", "bucket": "Text_Runs"})
+    for name, full, nothing in (("documents", renamed(odd), renamed(none)), ("labels", labels, labels.limit(0)), ("benchmark", items, items.limit(0))):
+        (nothing if name in empty else full).write.parquet(f"{tmp_path}/{name}.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = now.columns
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+        now.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        assert name == corpus_pipeline.STAGES[-1][0] or now.columns == columns
+    got = now.collect()
+    assert len(got) == corpus_pipeline.run(spark, str(tmp_path)).count()
+    if "documents" in empty:
+        assert got == []
+    else:
+        # nothing scores as toxic where all labels say clean; copies and repeated rows are gone
+        assert all(r["lossless"] for r in got) and len({(r["doc_id"], r["decoded_sha256"]) for r in got}) == len(got)
+        assert {3, 4, 5} <= {r["doc_id"] for r in got}
