@@ -17,7 +17,6 @@ _NUMBERS = (
     (("-E", "--evalue"), "evalue"), (("-T", "--bitscore"), "bitscore"), (("--domE",), "dom_evalue"), (("--domT",), "dom_bitscore"),
     (("--incE",), "inc_evalue"), (("--incT",), "inc_bitscore"), (("--incdomE",), "inc_dom_evalue"), (("--incdomT",), "inc_dom_bitscore"),
 )
-FILES = (".tsv", ".csv", ".txt", ".parquet")
 
 
 def _thresholds(parser: argparse.ArgumentParser) -> None:
@@ -71,9 +70,9 @@ def options_of(args: argparse.Namespace) -> ThresholdOptions:
 
 
 def output_of(path: str, command: str) -> Path:
-    """The path itself if it names a file of a known kind, else a file of the command's name in that folder."""
+    """The path itself if it has a suffix, of whatever kind, else a file of the command's name in that folder."""
     p = Path(path)
-    return p if p.suffix.lower() in FILES else p / f"{command}_results.tsv"
+    return p if p.suffix else p / f"{command}_results.tsv"
 
 
 def _session(threads: int):

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +17,59 @@ from profilum.operators import hits as H
 from profilum.schema import RESULT
 
 
+class DomainHit(NamedTuple):
+    """A domain of a hit."""
+
+    c_evalue: float
+    i_evalue: float
+    bitscore: float
+    env_from: int
+    env_to: int
+    ali_from: int
+    ali_to: int
+
+
+class SequenceHit(NamedTuple):
+    """A hit with its domains."""
+
+    sequence_id: str
+    hmm_name: str
+    evalue: float
+    bitscore: float
+    domains: tuple[DomainHit, ...] = ()
+
+    @property
+    def best_domain(self) -> DomainHit | None:
+        """The first of the domains with the largest bit score."""
+        return max(self.domains, key=lambda d: d.bitscore, default=None)
+
+    @classmethod
+    def of_row(cls, row: Row) -> "SequenceHit":
+        domains = tuple(DomainHit(*(d[f] for f in DomainHit._fields)) for d in row["domains"])
+        return cls(*(row[f] for f in cls._fields[:-1]), domains)
+
+
+_DOMAINS = "array<struct<c_evalue:double,i_evalue:double,bitscore:double,env_from:int,env_to:int,ali_from:int,ali_to:int>>"
+HIT_SCHEMA = f"sequence_id string, hmm_name string, evalue double, bitscore double, domains {_DOMAINS}"
+
+
 class SearchResult:
-    """Lazy hits: ``nested`` has one row a hit, ``df`` one row a domain with the 11 public columns."""
+    """Lazy hits: ``nested`` has one row a hit, ``df`` one row a domain with the 11 public columns.
+
+    As a context manager it keeps its hits while the block runs, so that they
+    are computed once.
+    """
 
     def __init__(self, nested: DataFrame) -> None:
         self.nested = nested
 
+    def __enter__(self) -> "SearchResult":
+        self.nested.persist()
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.nested.unpersist()
+
     @property
     def df(self) -> DataFrame:
         return H.flat(self.nested)
@@ -33,8 +82,9 @@ class SearchResult:
     def n_domains(self) -> int:
         return self.df.count()
 
-    def __iter__(self) -> Iterator[Row]:
-        return self.nested.select("sequence_id", "hmm_name", "evalue", "bitscore", "domains").toLocalIterator()
+    def __iter__(self) -> Iterator[SequenceHit]:
+        """Hits one after the other, a partition at a time on the driver."""
+        return map(SequenceHit.of_row, self.nested.select(*SequenceHit._fields).toLocalIterator())
 
     def best_domains(self) -> DataFrame:
         return H.best_domain(self.nested)
@@ -77,6 +127,46 @@ class SearchResult:
         return cls(spark.read.parquet(path))
 
 
+class ResultCollector:
+    """Hits added one by one, as a SearchResult in the end.
+
+    At most ``held`` are kept on the driver: then they go to a new part of a
+    Parquet table in ``output_dir`` (a folder that all executors see).
+    """
+
+    def __init__(self, spark: SparkSession, output_dir: str | None = None, held: int = 100_000) -> None:
+        if output_dir is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("output_dir: a folder that the driver and all executors share")
+        self.spark, self.held, self.rows, self.finished = spark, held, [], None
+        self.path = f"{output_dir or tempfile.mkdtemp(prefix='profilum-')}/hits-{uuid.uuid4().hex}"
+        self.spilled = False
+
+    def add(self, hit: SequenceHit) -> None:
+        if self.finished is not None:
+            raise RuntimeError("the collector is finished")
+        self.rows.append(hit)
+        if len(self.rows) >= self.held:
+            self._frame().write.mode("append").parquet(self.path)
+            self.rows, self.spilled = [], True
+
+    def _frame(self) -> DataFrame:
+        return self.spark.createDataFrame([(*h[:-1], [tuple(d) for d in h.domains]) for h in self.rows], HIT_SCHEMA)
+
+    def finalize(self) -> SearchResult:
+        """All hits; the same result when it is called again."""
+        if self.finished is None:
+            rest = self._frame()
+            self.finished = SearchResult(self.spark.read.schema(HIT_SCHEMA).parquet(self.path).unionByName(rest) if self.spilled else rest)
+        return self.finished
+
+    def __enter__(self) -> "ResultCollector":
+        return self
+
+    def __exit__(self, kind, *error) -> None:
+        if kind is None:
+            self.finalize()
+
+
 def read_result(spark: SparkSession, path: str) -> DataFrame:
     """Flat rows of a tab-separated result."""
     return spark.read.schema(RESULT).option("sep", "\t").option("header", True).csv(str(path))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,8 @@ from profilum.plans import score as S
 from profilum.sources.fasta import read_sequences, single_file
 from profilum.sources.profiles import read_profiles
 
+log = logging.getLogger(__name__)
+
 Z_SCOPES = ("file", "corpus")
 
 
@@ -61,6 +65,24 @@ def _space(sequences: DataFrame, z_scope: str, z: float | None):
     return (sequences.count(), []) if z_scope == "corpus" else (H.space_by_file(sequences), ["source_path"])
 
 
+def _run(found: SearchResult, mode: str, output_dir: str | None, show_progress: bool) -> SearchResult:
+    """The result; with ``output_dir`` written there now (a folder that all executors see) and read back."""
+    if output_dir is None:
+        return found
+    path = f"{output_dir}/{mode}-{uuid.uuid4().hex}.parquet"
+    if show_progress:
+        log.info("%s: writing hits to %s", mode, path)
+    found.to_parquet(path)
+    return SearchResult.from_parquet(found.nested.sparkSession, path)
+
+
+def _tasks(rows: DataFrame, threads: int) -> DataFrame:
+    """Rows that at most ``threads`` tasks work on at once; 0: as many as there are cores."""
+    if threads < 0:
+        raise ValueError("threads must not be negative")
+    return rows.coalesce(threads) if threads else rows
+
+
 def _result(raw: DataFrame, profiles: DataFrame, options: ThresholdOptions, unit: list[str], query: list[str]) -> SearchResult:
     hits = H.ranked(H.thresholded(raw, profiles, options, unit), query)
     keys = ["source_path", "record_index", "profile_index", "strand"]
@@ -68,25 +90,25 @@ def _result(raw: DataFrame, profiles: DataFrame, options: ThresholdOptions, unit
     return SearchResult(H.nested(hits))
 
 
-def search(spark: SparkSession, sequences, hmms, *, thresholds: ThresholdOptions | None = None, z_scope: str = "file", z: float | None = None) -> SearchResult:
+def search(spark: SparkSession, sequences, hmms, *, thresholds: ThresholdOptions | None = None, z_scope: str = "file", z: float | None = None, threads: int = 0, output_dir: str | None = None, show_progress: bool = True) -> SearchResult:
     """Profiles (queries) against proteins.  Z counts the target sequences of each file, or of the corpus, or is given."""
     options = thresholds or ThresholdOptions()
     profiles = resolve_profiles(spark, hmms)
     _check_alphabet(profiles, {"amino"})
     options = TH.require_cutoff(profiles, options)
-    targets = _sequences(spark, sequences, MoleculeType.PROTEIN)
+    targets = _tasks(_sequences(spark, sequences, MoleculeType.PROTEIN), threads)
     space, unit = _space(targets, z_scope, z)
     raw = H.with_space(S.score(targets, S.pack(profiles)), space)
-    return _result(raw, profiles, options, ["profile_index", *unit], ["profile_index"])
+    return _run(_result(raw, profiles, options, ["profile_index", *unit], ["profile_index"]), "search", output_dir, show_progress)
 
 
-def scan(spark: SparkSession, sequences, hmms, *, thresholds: ThresholdOptions | None = None, z: float | None = None) -> SearchResult:
+def scan(spark: SparkSession, sequences, hmms, *, thresholds: ThresholdOptions | None = None, z: float | None = None, threads: int = 0, output_dir: str | None = None, show_progress: bool = True) -> SearchResult:
     """Proteins (queries) against profiles.  Z counts the profiles, with a cascade those of each cutoff."""
     options = thresholds or ThresholdOptions()
     profiles = resolve_profiles(spark, hmms)
     _check_alphabet(profiles, {"amino"})
     options = TH.require_cutoff(profiles, options)
-    targets = _sequences(spark, sequences, MoleculeType.PROTEIN)
+    targets = _tasks(_sequences(spark, sequences, MoleculeType.PROTEIN), threads)
     raw = S.score(targets, S.pack(profiles))
     if z is not None or not options.cascade:
         raw = H.with_space(raw, z if z is not None else profiles.count())
@@ -95,7 +117,7 @@ def scan(spark: SparkSession, sequences, hmms, *, thresholds: ThresholdOptions |
         kinds = TH.with_cutoffs(profiles, options).select("profile_index", F.coalesce("cutoff_type", F.lit("none")).alias("_kind"))
         raw = raw.join(kinds, "profile_index").join(kinds.groupBy("_kind").agg(F.count(F.lit(1)).alias("z")), "_kind")
         unit = ["source_path", "record_index", "_kind"]
-    return _result(raw, profiles, options, unit, ["source_path", "record_index"])
+    return _run(_result(raw, profiles, options, unit, ["source_path", "record_index"]), "scan", output_dir, show_progress)
 
 
 def _no_cutoffs(options: ThresholdOptions) -> ThresholdOptions:
@@ -110,14 +132,14 @@ def _plain(packed: DataFrame) -> DataFrame:
     return packed.select("profile_index", "name", none.alias("ga"), none.alias("tc"), none.alias("nc"))
 
 
-def phmmer(spark: SparkSession, query, target, *, thresholds: ThresholdOptions | None = None, z: float | None = None) -> SearchResult:
+def phmmer(spark: SparkSession, query, target, *, thresholds: ThresholdOptions | None = None, z: float | None = None, threads: int = 0, output_dir: str | None = None, show_progress: bool = True) -> SearchResult:
     """Proteins of one file (or table) against those of another."""
     options = _no_cutoffs(thresholds or ThresholdOptions())
     queries = single_file(_sequences(spark, query, MoleculeType.PROTEIN), "query")
-    targets = single_file(_sequences(spark, target, MoleculeType.PROTEIN), "target")
+    targets = _tasks(single_file(_sequences(spark, target, MoleculeType.PROTEIN), "target"), threads)
     packed = _kept(S.pack_sequences(queries))
     raw = H.with_space(S.score(targets, packed), z if z is not None else targets.count())
-    return _result(raw, _plain(packed), options, ["profile_index"], ["profile_index"])
+    return _run(_result(raw, _plain(packed), options, ["profile_index"], ["profile_index"]), "phmmer", output_dir, show_progress)
 
 
 def _kept(packed: DataFrame) -> DataFrame:
@@ -173,7 +195,7 @@ def _steps(table: np.ndarray, inserts: np.ndarray, w: np.ndarray, k: int) -> np.
     return out
 
 
-def jackhmmer(spark: SparkSession, query, target, *, thresholds: ThresholdOptions | None = None, max_iterations: int = 5, z: float | None = None, legacy_last_only: bool = False) -> SearchResult:
+def jackhmmer(spark: SparkSession, query, target, *, thresholds: ThresholdOptions | None = None, max_iterations: int = 5, z: float | None = None, legacy_last_only: bool = False, threads: int = 0, output_dir: str | None = None, show_progress: bool = True) -> SearchResult:
     """Iterative search: each round's included hits make the next round's profile, until they stay the same.
 
     All queries are returned under their names; ``legacy_last_only`` keeps the
@@ -183,7 +205,7 @@ def jackhmmer(spark: SparkSession, query, target, *, thresholds: ThresholdOption
     if options.inc_evalue is None and options.inc_bitscore is None:
         options = ThresholdOptions(**{**vars(options), "inc_evalue": ITERATIVE_INC_EVALUE})
     queries = single_file(_sequences(spark, query, MoleculeType.PROTEIN), "query")
-    targets = single_file(_sequences(spark, target, MoleculeType.PROTEIN), "target")
+    targets = _tasks(single_file(_sequences(spark, target, MoleculeType.PROTEIN), "target"), threads)
     space = z if z is not None else targets.count()
     packed = _kept(S.pack_sequences(queries))
     seen: dict[int, tuple[int, int]] = {}
@@ -211,10 +233,10 @@ def jackhmmer(spark: SparkSession, query, target, *, thresholds: ThresholdOption
         last = queries.agg(F.max("record_index")).first()[0]
         hits = hits.where(F.col("profile_index") == last).withColumn("hmm_name", F.lit("jackhmmer_query"))
     ranked = H.ranked(hits, ["profile_index"]).withColumn("hit_id", F.xxhash64("source_path", "record_index", "profile_index"))
-    return SearchResult(H.nested(ranked))
+    return _run(SearchResult(H.nested(ranked)), "jackhmmer", output_dir, show_progress)
 
 
-def nhmmer(spark: SparkSession, sequences, hmms, *, thresholds: ThresholdOptions | None = None, z: float | None = None) -> SearchResult:
+def nhmmer(spark: SparkSession, sequences, hmms, *, thresholds: ThresholdOptions | None = None, z: float | None = None, threads: int = 0, output_dir: str | None = None, show_progress: bool = True) -> SearchResult:
     """Nucleotide profiles against both strands of nucleotide sequences.
 
     The search space is the residues searched (both strands of each file, or
@@ -225,10 +247,10 @@ def nhmmer(spark: SparkSession, sequences, hmms, *, thresholds: ThresholdOptions
     profiles = resolve_profiles(spark, hmms)
     _check_alphabet(profiles, {"dna", "rna"})
     options = TH.require_cutoff(profiles, options, fall_back=True)
-    targets = _sequences(spark, sequences, MoleculeType.NUCLEOTIDE)
+    targets = _tasks(_sequences(spark, sequences, MoleculeType.NUCLEOTIDE), threads)
     raw = S.score_nucleotides(targets, S.pack(profiles))
     if z is None:
         raw = raw.join(targets.groupBy("source_path").agg((2 * F.sum("length")).alias("_residues")), "source_path").withColumn("z", F.col("_residues") / F.col("reach"))
     else:
         raw = raw.withColumn("z", F.lit(float(z)) / F.col("reach"))
-    return _result(raw, profiles, options, ["profile_index", "source_path"], ["profile_index"])
+    return _run(_result(raw, profiles, options, ["profile_index", "source_path"], ["profile_index"]), "nhmmer", output_dir, show_progress)

@@ -191,7 +191,18 @@ def test_results(spark, tmp_path):
     assert (tmp_path / "m.tsv").read_text().splitlines()[1].split("\t")[2:5] == ["1e-10", "123", "1e-05"]
     result.to_csv(str(tmp_path / "d.tsv"), legacy_format="disk")
     assert (tmp_path / "d.tsv").read_text().splitlines()[1].split("\t")[2:4] == ["1.00e-10", "123.45"]
-    assert [r["sequence_id"] for r in result] == ["123", "s2"]
+    assert [r.sequence_id for r in result] == ["123", "s2"]
+    hits = list(result)
+    assert isinstance(hits[0], P.SequenceHit) and hits[0].best_domain == max(hits[0].domains, key=lambda d: d.bitscore) and hits[1].best_domain is None
+    with P.ResultCollector(spark, str(tmp_path / "collected"), held=2) as collector:
+        for hit in hits * 3 + hits[:1]:
+            collector.add(hit)
+    found = collector.finalize()
+    assert sorted(found, key=str) == sorted(hits * 3 + hits[:1], key=str) and len(found) == 7
+    with pytest.raises(RuntimeError):
+        collector.add(hits[0])
+    with result as kept:
+        assert kept.nested.is_cached
     assert H.max_score_by_sequence(result.df).collect()[0]["max_bitscore"] == 123.45
 
 
@@ -254,6 +265,12 @@ def test_registry_and_installing(home, spark):
         P.install_database("nothing")
 
 
+def test_addresses_of_repository_pages():
+    assert databases.github_address("https://github.com/a/b/blob/v1.2/x/y.hmm") == ("https://raw.githubusercontent.com/a/b/v1.2/x/y.hmm", "y.hmm")
+    assert databases.github_address("https://github.com/a/b/tree/dev/x/") == ("https://api.github.com/repos/a/b/contents/x?ref=dev", None)
+    assert databases.github_address("https://github.com/a/b") == ("https://api.github.com/repos/a/b/contents", None)
+
+
 def test_command_line(spark, files, home, capsys):
     assert cli.main([]) == 1
     assert cli.main(["search", "-s", str(files / "p.faa"), "-H", str(files / "two.hmm"), "-o", str(home / "out"), "--incE", "1e-3"]) == 0
@@ -261,7 +278,12 @@ def test_command_line(spark, files, home, capsys):
     assert lines[0].split("\t") == RESULT.fieldNames() and len(lines) == 4
     assert "Found 3 hits" in capsys.readouterr().out
     assert cli.main(["scan", "-s", "nowhere", "-H", str(files / "two.hmm"), "-o", "x.tsv"]) == 1
-    assert cli.output_of("name.v1", "scan").name == "scan_results.tsv"
+    assert cli.output_of("name", "scan").name == "scan_results.tsv" and cli.output_of("hits.domtbl", "scan").name == "hits.domtbl"
+    options = dict(threads=2, output_dir=str(home / "kept"), show_progress=False)
+    result = P.search(spark, str(files / "p.faa"), str(files / "two.hmm"), thresholds=P.ThresholdOptions(inc_evalue=1e-3), **options)
+    assert len(result) == 3 and result.nested.inputFiles()[0].startswith(f"file://{home}/kept/search-")
+    with pytest.raises(ValueError):
+        P.scan(spark, str(files / "p.faa"), str(files / "two.hmm"), threads=-1)
     assert cli.main(["db", "list", "--type", "nucleotide"]) == 0
     assert "barrnap" in capsys.readouterr().out
 
