@@ -5,11 +5,14 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilum.functions.residues import AMINO, composition, digitize, reverse_complement
 from profilum.functions.stats import evalue, general, gumbel_lnp, log10_evalue, scientific, tail_lnp
+from profilum.kernel.build import conditional
+from profilum.kernel.model import background
 from profilum.manifest import DATABASES
 from profilum.operators import hits as H
 from profilum.operators import registry as R
@@ -333,6 +336,36 @@ def _kernel(spark: SparkSession, sf_dir: str, alphabet: str = "amino") -> tuple[
     return _kept(S.pack_sequences(queries_of(profiles(spark, sf_dir, alphabet)), alphabet)), targets(spark, sf_dir, alphabet)
 
 
+def _msv_sql() -> str:
+    """The ungapped recurrence as a recursive CTE: one step a residue, match scores as lists in single precision."""
+    bg, p = background("amino"), conditional("amino")
+    odds = np.log(p / bg).astype(np.float32)
+    table = ", ".join(f"('{x}', [{', '.join(repr(a) for a in AMINO)}], [{', '.join(repr(float(odds[i, k])) for i in range(len(AMINO)))}])" for k, x in enumerate(AMINO))
+    best = "list_transform(range(1, m + 1), lambda k: greatest(CASE WHEN k > 1 THEN ms[k - 1] ELSE low END, CAST(b + entry AS FLOAT)) + o[k])"
+    return f"""WITH RECURSIVE {_PROFS},
+sym AS (SELECT x, map(letters, CAST(scores AS FLOAT[])) AS mp FROM (VALUES {table}) AS v(x, letters, scores)),
+q AS (SELECT profile_index, length(residues) AS m, ln(2.0::DOUBLE / (length(residues) * (length(residues) + 1))) AS entry, residues FROM profs WHERE length(residues) > 0),
+po AS (SELECT profile_index, x, list_transform(string_split(residues, ''), lambda c: mp[c]) AS o FROM q, sym),
+t AS (SELECT profile_index AS record_index, residues, length(residues) AS n, ln(1 - 3.0::DOUBLE / (length(residues) + 3)) AS loop, ln(3.0::DOUBLE / (length(residues) + 3)) AS move FROM profs WHERE length(residues) > 0),
+r AS (
+  SELECT profile_index, record_index, 0 AS i, m, n, entry, loop, move, t.residues, CAST('-inf' AS FLOAT) AS low, list_transform(range(1, m + 1), lambda k: CAST('-inf' AS FLOAT)) AS ms,
+    CAST('-inf' AS DOUBLE) AS j, CAST('-inf' AS DOUBLE) AS c, CAST(0 AS DOUBLE) AS f, move AS b FROM q, t
+  UNION ALL
+  SELECT profile_index, record_index, i, m, n, entry, loop, move, residues, low, new, j2, c2, f2, greatest(f2, j2) + move FROM (
+    SELECT *, greatest(j + loop, e - ln(2.0::DOUBLE)) AS j2, greatest(c + loop, e - ln(2.0::DOUBLE)) AS c2, f + loop AS f2 FROM (
+      SELECT *, CAST(list_max(new) AS DOUBLE) AS e FROM (
+        SELECT r.profile_index, record_index, i + 1 AS i, m, n, entry, loop, move, residues, low, j, c, f, b, {best} AS new
+        FROM r JOIN po ON po.profile_index = r.profile_index AND po.x = substr(residues, i + 1, 1) WHERE i < n))))
+SELECT profile_index, record_index, round(c + move, 4) AS msv FROM r WHERE i = n"""
+
+
+@query("msv_scores", _msv_sql())
+def msv_scores(spark, sf_dir):
+    """The kernel's ungapped scores of all items against each other."""
+    packed, seqs = _kernel(spark, sf_dir)
+    return S.filter_scores(seqs, packed).select("profile_index", "record_index", F.round("msv", 4).alias("msv"))
+
+
 @query("search_full")
 def search_full(spark, sf_dir):
     """Profiles against sequences through the whole cascade, spaces by file."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from profilum.functions.residues import DNA, reverse_complement
+from profilum.kernel import dp
 from profilum.kernel.build import from_sequence, reach
 from profilum.kernel.model import Profile, encode
 from profilum.kernel.pipeline import model_of, search_batch
@@ -105,6 +106,28 @@ def score(sequences: DataFrame, packed: DataFrame, batch_residues: int = BATCH_R
     return spark.createDataFrame([], RAW_HITS) if out is None else out
 
 
+FILTER_SCORES = "profile_index bigint, source_path string, record_index bigint, msv double, viterbi double, forward double"
+
+
+def filter_scores(sequences: DataFrame, packed: DataFrame, batch_residues: int = BATCH_RESIDUES) -> DataFrame:
+    """FILTER_SCORES: log-odds of all profiles and sequences in each recurrence of the cascade, before any filter."""
+    spark, out = sequences.sparkSession, None
+    for chunk in _chunks(packed):
+        sent = spark.sparkContext.broadcast(chunk)
+
+        def run(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            models = [model_of(p) for p in sent.value]
+            for piece in _batches(frames, batch_residues):
+                x, lengths = dp.pad([encode(r, a) for r, a in zip(piece["residues"], piece["alphabet"])])
+                for m in models:
+                    scores = {n: f(m, x, lengths) for n, f in (("msv", dp.msv), ("viterbi", dp.viterbi), ("forward", dp.forward))}
+                    yield pd.DataFrame({"profile_index": m.profile.index, "source_path": piece["source_path"].to_numpy(), "record_index": piece["record_index"].to_numpy(), **scores})
+
+        part = sequences.select("source_path", "record_index", "residues", "alphabet").where("length(residues) > 0").mapInPandas(run, FILTER_SCORES)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], FILTER_SCORES) if out is None else out
+
+
 def windows_of(sequences: DataFrame, size: int, overlap: int) -> DataFrame:
     """Both strands cut into windows: adds strand, offset (of the window in its strand) and full_length."""
     both = sequences.withColumn("full_length", F.length("residues")).withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-")))).withColumn("residues", F.when(F.col("strand") == "+", F.col("residues")).otherwise(reverse_complement(F.col("residues"))))
