@@ -33,6 +33,8 @@ from profilum.sources.tables import read_table
 
 THETA = 1.0
 SEED = 20240229
+#: Text bytes worked on at once; the lattice takes about a hundred times as much.
+SLICE = 512 << 10
 
 
 class Sampler:
@@ -186,7 +188,7 @@ def encode_sampled(docs: DataFrame, model: str | None = None, theta: float = THE
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sampler(path, theta, seed)
-        for batch in X.slices(batches):
+        for batch in X.slices(batches, limit=SLICE):
             keys = np.array([-1 << 62 if k is None else k for k in batch.column(0).to_pylist()], np.int64)
             ids, offsets = own.encode(keys, P.texts_of(batch.column(1)))
             tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
@@ -217,7 +219,7 @@ def roundtrip(docs: DataFrame, model: str | None = None, theta: float = THETA, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sampler(path, theta, seed)
-        for batch in X.slices(batches):
+        for batch in X.slices(batches, limit=SLICE):
             keys = np.array([-1 << 62 if k is None else k for k in batch.column(0).to_pylist()], np.int64)
             raw, at = X.utf8(batch.column(1))
             ids, offsets = own.encode(keys, P.texts_of(batch.column(1)))

@@ -8,6 +8,8 @@ from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group.
+BLOCK_BYTES = 16 << 20
 #: Where each stashed table lies.
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -28,7 +30,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """The rows, written as Parquet to the shared folder and read back, so that no later failure computes them anew."""
     spark = df.sparkSession
     path = f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # rows of large binaries: smaller row groups are held while they are written and read
+    df.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     _PATHS[back] = path
     return back
