@@ -96,29 +96,35 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.n
     keeps beside those it is correlated with given the label.
     """
     n, m = votes.shape
-    kinds = np.stack([votes == v for v in (1, -1, 0)], 1).astype(np.float32)  # row, vote, voter
+    signed = votes.astype(np.float32)  # row, voter
+    yes, no = (votes > 0).astype(np.float32), (votes < 0).astype(np.float32)
+
+    def alike(weight: np.ndarray | None) -> np.ndarray:
+        """Correlations of the voters, over weighted rows."""
+        w = np.ones(n, np.float32) if weight is None else (weight + 1e-9).astype(np.float32)
+        centred = signed - w @ signed / w.sum()
+        centred *= np.sqrt(w)[:, None]
+        spread = np.sqrt(np.einsum("nm,nm->m", centred, centred)) + 1e-9
+        return np.abs(centred.T @ centred) / np.outer(spread, spread)
+
     # voters that nearly repeat each other count as one from the start
-    centred = votes.astype(np.float32) - votes.mean(0).astype(np.float32)
-    spread = np.sqrt((centred**2).sum(0)) + 1e-9
-    share = 1 / np.maximum((np.abs(centred.T @ centred) / np.outer(spread, spread) > 0.9).sum(1), 1)
-    q = np.where((votes > 0) @ share > (votes < 0) @ share, 0.9, 0.1)
-    del centred
+    share = 1 / np.maximum((alike(None) > 0.9).sum(1), 1)
+    share32 = share.astype(np.float32)
+    q = np.where(yes @ share32 > no @ share32, 0.9, 0.1)
     rates = np.zeros((m, 3, 2))
     for step in range(rounds):
         for y, weight in enumerate((1 - q, q)):
-            count = np.einsum("n,nvm->mv", weight.astype(np.float32), kinds) + np.array([0.01, 0.01, 0.1])
+            w = weight.astype(np.float32)
+            votes_for, against = w @ yes, w @ no
+            count = np.stack([votes_for, against, np.maximum(w.sum() - votes_for - against, 0)], 1) + np.array([0.01, 0.01, 0.1])
             rates[:, :, y] = count / count.sum(1, keepdims=True)
         if step % 10 == 5:
-            mass = np.zeros((m, m))
-            for weight in (1 - q, q):
-                centred = (votes - np.average(votes, axis=0, weights=weight + 1e-9).astype(np.float32)) * np.sqrt(weight).astype(np.float32)[:, None]
-                spread = np.sqrt((centred**2).sum(0)) + 1e-9
-                mass = np.maximum(mass, np.abs(centred.T @ centred) / np.outer(spread, spread) * (np.abs(votes) > 0).any(0))
+            mass = np.maximum(alike(1 - q), alike(q)) * (yes.any(0) | no.any(0))
             np.fill_diagonal(mass, 1)
             share = 1 / np.where(mass > 0.3, mass, 0).sum(1)
         odds = np.log(rates[:, :, 1] / rates[:, :, 0]) * share[:, None]
         odds[:, 2] = np.clip(odds[:, 2], -0.02, 0.02)  # silence says little
-        logit = np.log(prior / (1 - prior)) + np.einsum("nvm,mv->n", kinds, odds)
+        logit = np.log(prior / (1 - prior)) + odds[:, 2].sum() + yes @ (odds[:, 0] - odds[:, 2]).astype(np.float32) + no @ (odds[:, 1] - odds[:, 2]).astype(np.float32)
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if np.abs(new - q).max() < 1e-5 and step > 12:
             q = new
@@ -279,6 +285,7 @@ def fit_sample(sample: DataFrame, settings: Settings = DEFAULT) -> Model:
     for flat, value, label, _ in rows(None):
         told.add(flat, value, label)
     lexicon, chosen = choose_features(told, settings)
+    del told
     wanted = np.zeros(1 << BITS, bool)
     wanted[lexicon] = wanted[chosen] = True
     flats, values, labels, extras = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], [], []
