@@ -107,8 +107,8 @@ def occupancy(trans: np.ndarray) -> np.ndarray:
 class Model:
     """A local model: match odds by symbol (S, M), entries, transitions into each node, and null and length parameters.
 
-    Inserts emit as the background does.  ``deletes[j, k]`` is the weight of
-    going from match j through deletes to delete k.
+    Inserts emit as the background does.  ``chain`` holds the weights of 1, 2,
+    4, ... steps from delete to delete.
     """
 
     profile: Profile
@@ -121,15 +121,22 @@ class Model:
     ii: np.ndarray
     md: np.ndarray
     dd: np.ndarray
-    deletes: np.ndarray | None
+    chain: list[tuple[int, np.ndarray]]
 
     @property
     def length(self) -> int:
         return len(self.entry)
 
 
-#: Models up to this length have their delete paths as one matrix.
-MATRIX_LENGTH = 400
+def doublings(step: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(r, products of step[k - r + 1] to step[k] for k from r on), r doubling: the recurrence y[k] = x[k] + step[k] y[k - 1]
+    is y[r:] += product * y[:-r] for one r after the other, its mirror image y[:-r] += product * y[r:]."""
+    out, product, reach = [], np.asarray(step, float), 1
+    while reach < len(step) and product[reach:].any():
+        out.append((reach, product[reach:].copy()))
+        product = np.concatenate([np.zeros(reach), product[reach:] * product[:-reach]])
+        reach *= 2
+    return out
 
 
 def local_model(profile: Profile) -> Model:
@@ -142,13 +149,7 @@ def local_model(profile: Profile) -> Model:
     into = lambda kind: np.concatenate([[0.0], t[1:m, kind]])  # noqa: E731  from node k - 1 to k
     own = lambda kind: np.concatenate([t[1:m, kind], [0.0]])
     md, dd = into(MD), into(DD)
-    deletes = None
-    if m <= MATRIX_LENGTH:
-        deletes = np.zeros((m, m))
-        for k in range(1, m):
-            deletes[:, k] = deletes[:, k - 1] * dd[k]
-            deletes[k - 1, k] += md[k]
-    return Model(profile, np.ascontiguousarray(symbol_odds(profile.match / bg, profile.alphabet, bg).T), entry, into(MM), into(IM), into(DM), own(MI), own(II), md, dd, deletes)
+    return Model(profile, np.ascontiguousarray(symbol_odds(profile.match / bg, profile.alphabet, bg).T), entry, into(MM), into(IM), into(DM), own(MI), own(II), md, dd, doublings(dd))
 
 
 def null_score(n: np.ndarray | int) -> np.ndarray | float:

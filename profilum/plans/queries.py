@@ -21,6 +21,7 @@ from profilum.operators import thresholds as TH
 from profilum.options import DEFAULTS, ThresholdOptions
 from profilum.plans import score as S
 from profilum.plans.corpus import profiles, queries_of, sequences, table
+from profilum.sources.tables import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -331,9 +332,7 @@ def targets(spark: SparkSession, sf_dir: str, alphabet: str = "amino") -> DataFr
 
 def _kernel(spark: SparkSession, sf_dir: str, alphabet: str = "amino") -> tuple[DataFrame, DataFrame]:
     """Items as calibrated profiles, packed once, and items as targets."""
-    from profilum.plans.search import _kept
-
-    return _kept(S.pack_sequences(queries_of(profiles(spark, sf_dir, alphabet)), alphabet)), targets(spark, sf_dir, alphabet)
+    return kept(S.pack_sequences(queries_of(profiles(spark, sf_dir, alphabet)), alphabet)), targets(spark, sf_dir, alphabet)
 
 
 def _msv_sql() -> str:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilum.kernel.build import from_counts, row_weights
+from profilum.kernel.build import from_counts, reach, row_weights
 from profilum.operators import hits as H
 from profilum.operators import thresholds as TH
 from profilum.operators.result import SearchResult
@@ -20,6 +20,7 @@ from profilum.options import ITERATIVE_INC_EVALUE, MoleculeType, ThresholdOption
 from profilum.plans import score as S
 from profilum.sources.fasta import read_sequences, single_file
 from profilum.sources.profiles import read_profiles
+from profilum.sources.tables import kept
 
 log = logging.getLogger(__name__)
 
@@ -137,17 +138,11 @@ def phmmer(spark: SparkSession, query, target, *, thresholds: ThresholdOptions |
     options = _no_cutoffs(thresholds or ThresholdOptions())
     queries = single_file(_sequences(spark, query, MoleculeType.PROTEIN), "query")
     targets = _tasks(single_file(_sequences(spark, target, MoleculeType.PROTEIN), "target"), threads)
-    packed = _kept(S.pack_sequences(queries))
+    packed = kept(S.pack_sequences(queries))
     raw = H.with_space(S.score(targets, packed), z if z is not None else targets.count())
     return _run(_result(raw, _plain(packed), options, ["profile_index"], ["profile_index"]), "phmmer", output_dir, show_progress)
 
 
-def _kept(packed: DataFrame) -> DataFrame:
-    """Packed profiles, computed once: they are as many as the queries of one file, and go to the driver for the broadcast anyway."""
-    rows = packed.collect()
-    return packed.sparkSession.createDataFrame(rows, packed.schema)
-
-
 def _counts(rows: DataFrame, weigh: dict[int, np.ndarray] | None, lengths: dict[int, int], k: int) -> dict[int, tuple]:
     """Per profile, sums over aligned rows: kinds of symbols in columns (without weights), or weighted symbols and transitions.
 
@@ -207,7 +202,7 @@ def jackhmmer(spark: SparkSession, query, target, *, thresholds: ThresholdOption
     queries = single_file(_sequences(spark, query, MoleculeType.PROTEIN), "query")
     targets = _tasks(single_file(_sequences(spark, target, MoleculeType.PROTEIN), "target"), threads)
     space = z if z is not None else targets.count()
-    packed = _kept(S.pack_sequences(queries))
+    packed = kept(S.pack_sequences(queries))
     seen: dict[int, tuple[int, int]] = {}
     hits = None
     for round_ in range(max_iterations):
@@ -221,13 +216,13 @@ def jackhmmer(spark: SparkSession, query, target, *, thresholds: ThresholdOption
         if not moved or round_ == max_iterations - 1:
             break
         profiles = {r["profile_index"]: pickle.loads(bytes(r["packed"])) for r in packed.toLocalIterator()}
-        rows = S.aligned_rows(targets, included.where(F.col("profile_index").isin(moved)), packed).persist()
+        rows = S.aligned_rows(targets, included.join(spark.createDataFrame([(i,) for i in moved], "profile_index bigint"), "profile_index", "left_semi"), packed).persist()
         lengths = {i: p.length for i, p in profiles.items()}
         kinds = _counts(rows, None, lengths, 20)
         sums = _counts(rows, {i: v[0] for i, v in kinds.items()}, lengths, 20)
         rows.unpersist()
         new = {i: from_counts(profiles[i], *v) for i, v in sums.items()}
-        packed = spark.createDataFrame([(i, p.name, bytearray(pickle.dumps(new.get(i, p)))) for i, p in sorted(profiles.items())], packed.schema)
+        packed = spark.createDataFrame([(i, p.name, reach(new.get(i, p)), bytearray(pickle.dumps(new.get(i, p)))) for i, p in sorted(profiles.items())], packed.schema)
         hits.unpersist()
     if legacy_last_only:
         last = queries.agg(F.max("record_index")).first()[0]

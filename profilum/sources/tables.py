@@ -1,7 +1,9 @@
-"""Parquet tables, spread over the cores where they come in few pieces."""
+"""Parquet tables, spread over the cores where they come in few pieces, and tables that are computed once."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -14,3 +16,15 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
     return rows.repartition(cores * 2) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows, computed now and written to the folder in spark.checkpoint.dir, so that a lost executor computes none of them
+    anew; where that is unset, to a new folder if all work is on this machine, and else an error."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="profilum-"))
+    return rows.checkpoint()

@@ -17,6 +17,7 @@ from profilum.kernel.build import conditional, from_sequence
 from profilum.kernel.model import background
 from profilum.operators import hits as H
 from profilum.operators.result import SearchResult
+from profilum.plans import score as S
 from profilum.schema import RESULT
 from profilum.sources.fasta import from_list, read_sequences
 from profilum.sources.profiles import format_profile, parse_profile, read_profiles
@@ -97,6 +98,20 @@ def test_search_scan_and_thresholds(spark, files):
     assert P.search(spark, sequences, hmms, thresholds=P.ThresholdOptions(bitscore=1000.0)).df.count() == 0
 
 
+def test_chunks_of_profiles_share_one_pass(spark, files, monkeypatch):
+    def found():
+        sequences, packed = read_sequences(spark, str(files / "p.faa")), S.pack(read_profiles(spark, str(files / "two.hmm")))
+        raw = S.score(sequences, packed)
+        scores = S.filter_scores(sequences, packed).orderBy("profile_index", "record_index").collect()
+        return raw.orderBy("profile_index", "record_index").collect(), scores, raw._jdf.queryExecution().executedPlan().toString()
+
+    whole = found()
+    monkeypatch.setattr(S, "PROFILES_AT_ONCE", 1)
+    single = found()
+    assert whole[:2] == single[:2] and len({r["profile_index"] for r in whole[0]}) == 2
+    assert "Union" not in single[2] and single[2].count("MapInPandas") == 1
+
+
 def test_options_are_checked(spark, files):
     for bad in ({"cut_ga": True, "cut_tc": True}, {"cascade": True, "cut_nc": True}):
         with pytest.raises(ValueError):

@@ -67,11 +67,28 @@ def test_batches_do_not_change_scores():
     assert (dp.forward(own, x, lengths) >= dp.viterbi(own, x, lengths) - 1e-9).all()
 
 
-def test_long_models_use_a_chain_of_deletes(monkeypatch):
-    own = tiny(12, 4)
-    chained = model.Model(**{**vars(own), "deletes": None})
-    x = np.random.default_rng(1).integers(0, 20, (3, 30)).astype(np.int16)
-    assert np.allclose(dp.forward(own, x, np.full(3, 30)), dp.forward(chained, x, np.full(3, 30)), atol=1e-10)
+@pytest.mark.parametrize("m", [1, 2, 7, 40])
+def test_chains_of_deletes_equal_steps_one_by_one(m):
+    own, match = tiny(m, 4), np.random.default_rng(m).random((3, m))
+    plain = np.zeros_like(match)
+    for k in range(1, m):
+        plain[:, k] = match[:, k - 1] * own.md[k] + plain[:, k - 1] * own.dd[k]
+    assert np.allclose(dp._chain(own, match), plain, rtol=1e-12)
+    back = match[0].copy()
+    for k in range(m - 2, -1, -1):
+        back[k] += back[k + 1] * own.dd[k + 1]
+    assert np.allclose(dp._enter(own, np.zeros(m), match[0], 0.0)[1], back, rtol=1e-12)
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 64, 65])
+def test_posteriors_do_not_depend_on_the_rows_kept(monkeypatch, n):
+    own, x = tiny(12, 4), np.random.default_rng(n).integers(0, 20, n).astype(np.int16)
+    whole = dp.Posterior(own, x)
+    monkeypatch.setattr(dp, "KEPT_CELLS", 1)
+    blocks, lean = dp.Posterior(own, x), dp.Posterior(own, x, states=False)
+    for name in ("score", "begin", "end", "inside", "match", "insert"):
+        assert np.allclose(getattr(whole, name), getattr(blocks, name), atol=1e-12)
+    assert lean.match is None and np.array_equal(lean.inside, blocks.inside) and np.array_equal(lean.begin, blocks.begin)
 
 
 def test_pvalues_of_random_sequences_are_uniform_in_the_tail():
