@@ -69,7 +69,7 @@ def _transitions(length: int, opening: float, extending: float) -> np.ndarray:
     return t
 
 
-def from_sequence(name: str, residues: str, alphabet: str = "amino", opening: float = GAP_OPEN, extending: float = GAP_EXTEND, index: int = 0) -> Profile:
+def uncalibrated(name: str, residues: str, alphabet: str = "amino", opening: float = GAP_OPEN, extending: float = GAP_EXTEND, index: int = 0) -> Profile:
     """A profile that scores as the substitution matrix and gap probabilities do; degenerate residues count as the background."""
     letters = AMINO if alphabet == "amino" else DNA
     p, bg = conditional(alphabet), background(alphabet)
@@ -77,8 +77,12 @@ def from_sequence(name: str, residues: str, alphabet: str = "amino", opening: fl
     if not kept:
         raise ValueError(f"{name}: no residues")
     match = np.array([p[letters.index(c)] if c in letters else bg for c in kept])
-    profile = Profile(name, "amino" if alphabet == "amino" else "dna", match, np.tile(bg, (len(match) + 1, 1)), _transitions(len(match), opening, extending), index=index, consensus="".join(kept))
-    return calibrate(profile)
+    return Profile(name, "amino" if alphabet == "amino" else "dna", match, np.tile(bg, (len(match) + 1, 1)), _transitions(len(match), opening, extending), index=index, consensus="".join(kept))
+
+
+def from_sequence(name: str, residues: str, alphabet: str = "amino", opening: float = GAP_OPEN, extending: float = GAP_EXTEND, index: int = 0) -> Profile:
+    """The same with score statistics."""
+    return calibrate(uncalibrated(name, residues, alphabet, opening, extending, index))
 
 
 def mean_entropy(profile: Profile) -> float:

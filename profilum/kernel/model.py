@@ -86,6 +86,16 @@ class Profile:
         compo = None if row["compo"] is None else np.exp(-np.array(row["compo"]))
         return cls(row["name"], row["alphabet"], nlog(row["match_nlog"]), nlog(row["insert_nlog"]), nlog(row["trans_nlog"]), stats, compo, row["max_length"], row["profile_index"], row["consensus"] or "")
 
+    def to_row(self) -> dict:
+        """What ``from_row`` reads."""
+        nlog = lambda m: [[None if v <= 0 else float(-np.log(v)) for v in r] for r in m]
+        stats = {f"stats_{k}": {"tau" if k == "forward" else "mu": float(v[0]), "lambda": float(v[1])} for k, v in self.stats.items()}
+        compo = None if self.compo is None else (-np.log(self.compo)).tolist()
+        return {
+            "profile_index": self.index, "name": self.name, "alphabet": self.alphabet, "model_length": self.length, "max_length": self.max_length, "consensus": self.consensus,
+            "match_nlog": nlog(self.match), "insert_nlog": nlog(self.insert), "trans_nlog": nlog(self.trans), "compo": compo, **stats,
+        }
+
     def composition(self) -> np.ndarray:
         """Mean match composition, weighted by occupancy."""
         if self.compo is not None:

@@ -3,25 +3,32 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilum.functions.residues import AMINO, composition, digitize, reverse_complement
 from profilum.functions.stats import evalue, general, gumbel_lnp, log10_evalue, scientific, tail_lnp
-from profilum.kernel.build import conditional
+from profilum.kernel.build import conditional, uncalibrated
 from profilum.kernel.model import background
 from profilum.manifest import DATABASES
 from profilum.operators import hits as H
 from profilum.operators import registry as R
 from profilum.operators import seeds as W
 from profilum.operators import thresholds as TH
+from profilum.operators.result import SearchResult
 from profilum.options import DEFAULTS, ThresholdOptions
 from profilum.plans import score as S
 from profilum.plans.corpus import profiles, queries_of, sequences, table
-from profilum.sources.tables import kept
+from profilum.schema import PROFILES
+from profilum.sources.fasta import from_rows, read_sequences, write_sequences
+from profilum.sources.files import parts
+from profilum.sources.profiles import read_profiles, write_profiles
+from profilum.sources.tables import kept, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,7 +110,10 @@ def hits(spark: SparkSession, sf_dir: str, options: ThresholdOptions | None = No
 
 def flat(spark: SparkSession, sf_dir: str, options: ThresholdOptions | None = None) -> DataFrame:
     """The flat view with E-values as rounded logarithms, as engines differ in the last digit."""
-    rows = H.flat(H.nested(hits(spark, sf_dir, options)))
+    return _rounded(H.flat(H.nested(hits(spark, sf_dir, options))))
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
     log = {"log_evalue": "evalue", "log_c": "c_evalue", "log_i": "i_evalue"}
     return rows.select("sequence_id", "hmm_name", *(F.round(F.log10(c), 6).alias(n) for n, c in log.items()), "bitscore", "dom_bitscore", "env_from", "env_to", "ali_from", "ali_to")
 
@@ -403,3 +413,93 @@ def nhmmer_full(spark, sf_dir):
     space = seqs.groupBy("source_path").agg((2 * F.sum("length")).alias("_residues"))
     found = S.score_nucleotides(seqs, packed).join(space, "source_path").withColumn("z", F.col("_residues") / F.col("reach"))
     return H.flat(H.nested(H.thresholded(found, profiles(spark, sf_dir, "dna"), ThresholdOptions(), ["profile_index", "source_path"])))
+
+
+# ------------------------------------------------------------------ files
+
+
+def _new(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def _fasta(spark: SparkSession, rows: DataFrame) -> list[str]:
+    """FASTA files of sequences."""
+    path = _new(spark, "fasta")
+    write_sequences(rows, path)
+    return parts(spark, path)
+
+
+def _hmm(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Profile files of the items."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [{f: None for f in PROFILES.fieldNames()} | uncalibrated(r["name"], r["residues"], index=r["profile_index"]).to_row() | {c: r[c] for c in ("ga", "tc", "nc")} for r in batch.to_dict("records")]
+            yield pd.DataFrame(rows, columns=PROFILES.fieldNames())
+
+    path = _new(spark, "hmm")
+    write_profiles(profiles(spark, sf_dir).where("length(residues) > 0").mapInPandas(build, PROFILES), path)
+    return parts(spark, path)
+
+
+_SEQUENCE = "SELECT sequence_id, {} AS description, CAST(length(residues) AS BIGINT) AS n, md5(residues) AS residues_md5 FROM seqs"
+
+
+def _sequence_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("sequence_id", "description", F.col("length").cast("long").alias("n"), F.md5(F.col("residues").cast("binary")).alias("residues_md5"))
+
+
+@query("fasta_files", f"WITH {_SEQS} " + _SEQUENCE.format("source_path"))
+def fasta_files(spark, sf_dir):
+    """Sequences written as FASTA and read by the reader of files."""
+    return _sequence_rows(read_sequences(spark, _fasta(spark, sequences(spark, sf_dir).withColumn("description", F.col("source_path")))))
+
+
+@query("sequence_rows", f"WITH {_SEQS} " + _SEQUENCE.format("CAST(NULL AS VARCHAR)"))
+def sequence_rows(spark, sf_dir):
+    """Sequences from rows already there."""
+    return _sequence_rows(from_rows(sequences(spark, sf_dir).select("sequence_id", "residues"), "amino"))
+
+
+def _profile_sql() -> str:
+    """Match scores of a profile in the five decimals of a file, summed up by the letters of the item."""
+    p = conditional("amino")
+    letters = ", ".join(f"'{x}'" for x in AMINO)
+    sums = ", ".join(repr(sum(float(f"{-np.log(v):.5f}") for v in row)) for row in p)
+    return f"""WITH {_PROFS}, s AS (SELECT map([{letters}], [{sums}]) AS by_letter)
+SELECT hmm_name AS name, 'amino' AS alphabet, CAST(length(residues) AS BIGINT) AS model_length, residues AS consensus, CAST(ga AS DOUBLE) AS ga, CAST(ga / 2 AS DOUBLE) AS ga_dom, CAST(tc AS DOUBLE) AS tc,
+  CAST(nc AS DOUBLE) AS nc, round(list_sum(list_transform(string_split(residues, ''), lambda c: by_letter[c])), 3) AS match_sum FROM profs, s WHERE length(residues) > 0"""
+
+
+@query("profile_files", _profile_sql())
+def profile_files(spark, sf_dir):
+    """Profiles written to files and read by the reader of files."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    return read_profiles(spark, _hmm(spark, sf_dir)).select(
+        "name", "alphabet", F.col("model_length").cast("long").alias("model_length"), "consensus", F.col("ga.seq").alias("ga"), F.col("ga.dom").alias("ga_dom"), F.col("tc.seq").alias("tc"), F.col("nc.seq").alias("nc"),
+        F.round(F.aggregate("match_nlog", F.lit(0.0), lambda x, row: x + total(row)), 3).alias("match_sum"),
+    )
+
+
+@query("result_table", _hits_sql(ThresholdOptions()) + _FLAT)
+def result_table(spark, sf_dir):
+    """A result written as a table and read back."""
+    path = _new(spark, "result")
+    SearchResult(H.nested(hits(spark, sf_dir))).to_parquet(path)
+    return _rounded(SearchResult.from_parquet(spark, path).df)
+
+
+@query("result_tsv", _hits_sql(ThresholdOptions()) + _FLAT)
+def result_tsv(spark, sf_dir):
+    """The flat rows of a result as tab-separated text, read back as hits."""
+    path = _new(spark, "result")
+    H.flat(H.nested(hits(spark, sf_dir))).write.csv(path, sep="\t", header=True)
+    return _rounded(SearchResult.from_file(spark, path).df)
+
+
+@query("search_files")
+def search_files(spark, sf_dir):
+    """The public search: FASTA files of all items against profile files of all items."""
+    from profilum.plans.search import search
+
+    return search(spark, _fasta(spark, queries_of(profiles(spark, sf_dir))), _hmm(spark, sf_dir), z_scope="corpus").df

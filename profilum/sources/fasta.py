@@ -107,6 +107,13 @@ def from_list(spark: SparkSession, items: list[tuple[str, str]], alphabet: str =
     return spark.createDataFrame([(MEMORY, i, a, None, r, len(r), alphabet) for i, (a, r) in enumerate(items)], SEQUENCES)
 
 
+def write_sequences(sequences: DataFrame, path: str, width: int = 60) -> None:
+    """FASTA with wrapped lines, one file a partition, in a new folder; what it lacks is the sequences' source and number."""
+    header = F.concat(F.lit(">"), "sequence_id", F.coalesce(F.concat(F.lit(" "), "description"), F.lit("")))
+    body = F.nullif(F.regexp_replace("residues", f"(.{{{width}}})(?=.)", "$1\n"), F.lit(""))
+    sequences.select(F.concat_ws("\n", header, body)).write.text(path)
+
+
 def single_file(sequences: DataFrame, what: str) -> DataFrame:
     """The sequences, if they come from one file."""
     if len(sequences.select("source_path").distinct().take(2)) > 1:

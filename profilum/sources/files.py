@@ -25,3 +25,8 @@ def listed(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> tuple[l
         return [(status.getPath().toString(), status.getLen())], False
     found = [(s.getPath().toString(), s.getLen()) for s in fs.listStatus(p) if s.isFile()]
     return sorted(f for f in found if f[0].lower().endswith(suffixes)), True
+
+
+def parts(spark: SparkSession, path: str, suffix: str = ".txt") -> list[str]:
+    """The files with rows in a folder that Spark wrote."""
+    return [name for name, size in listed(spark, path, (suffix,))[0] if size]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +100,25 @@ def format_profile(row) -> str:
     return "\n".join(lines) + "\n//\n"
 
 
+def write_profiles(profiles: DataFrame, path: str) -> None:
+    """Profile files, one a partition, in a new folder."""
+
+    whole = ("nseq", "cksum", "max_length", "model_length")
+
+    def plain(value):
+        """Lists and None for what Arrow gives as arrays and NaN."""
+        if isinstance(value, (list, np.ndarray)):
+            return [plain(v) for v in value]
+        return value if isinstance(value, dict) or not pd.isna(value) else None
+
+    def text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [{k: plain(v) for k, v in row.items()} for row in batch.to_dict("records")]
+            yield pd.DataFrame({"value": [format_profile(row | {c: None if row[c] is None else int(row[c]) for c in whole}).removesuffix("\n") for row in rows]})
+
+    profiles.mapInPandas(text, "value string").write.text(path)
+
+
 def read_profiles(spark: SparkSession, source: str | list[str] | DataFrame) -> DataFrame:
     """Profiles of a file (any number of records), a folder of .hmm files, several of them, or rows already there.
 

@@ -18,13 +18,20 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.repartition(cores * 2) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def kept(rows: DataFrame) -> DataFrame:
-    """The rows, computed now and written to the folder in spark.checkpoint.dir, so that a lost executor computes none of them
-    anew; where that is unset, to a new folder if all work is on this machine, and else an error."""
-    context = rows.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        found = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, a new one if all work is on this machine, and else an error."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="profilum-"))
+        found = "file://" + tempfile.mkdtemp(prefix="profilum-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows, computed now and written to the shared folder, so that a lost executor computes none of them anew."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()

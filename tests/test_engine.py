@@ -19,8 +19,9 @@ from profilum.operators import hits as H
 from profilum.operators.result import SearchResult
 from profilum.plans import score as S
 from profilum.schema import RESULT
-from profilum.sources.fasta import from_list, read_sequences
-from profilum.sources.profiles import format_profile, parse_profile, read_profiles
+from profilum.sources.fasta import from_list, read_sequences, write_sequences
+from profilum.sources.files import parts
+from profilum.sources.profiles import format_profile, parse_profile, read_profiles, write_profiles
 
 FIRST, SECOND = "MKTAYIAKQRQISFVKSHFSRQLEERLGLIEVQAPILSRVGD", "GSHMWQPLNDTEEYCRKIVHAFLSDNPWGKYTRMCVEIQALHPFD"
 
@@ -98,6 +99,17 @@ def test_search_scan_and_thresholds(spark, files):
     assert P.search(spark, sequences, hmms, thresholds=P.ThresholdOptions(bitscore=1000.0)).df.count() == 0
 
 
+def test_files_written_are_read_back(spark, files, tmp_path):
+    sequences, profiles = read_sequences(spark, str(files / "p.faa")), read_profiles(spark, str(files / "two.hmm"))
+    write_sequences(sequences, str(tmp_path / "f"), width=7)
+    write_profiles(profiles, str(tmp_path / "h"))
+    back = read_sequences(spark, parts(spark, str(tmp_path / "f")))
+    kept = ("sequence_id", "description", "residues", "length", "alphabet")
+    assert sorted(back.select(*kept).collect(), key=str) == sorted(sequences.select(*kept).collect(), key=str)
+    again = read_profiles(spark, parts(spark, str(tmp_path / "h")))
+    assert again.drop("source_path", "profile_index").orderBy("name").collect() == profiles.drop("source_path", "profile_index").orderBy("name").collect()
+
+
 def test_chunks_of_profiles_share_one_pass(spark, files, monkeypatch):
     def found():
         sequences, packed = read_sequences(spark, str(files / "p.faa")), S.pack(read_profiles(spark, str(files / "two.hmm")))

@@ -10,7 +10,7 @@ from profilum.schema import RESULT
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["digitize_residues", "flat_result", "cascade", "cut_nc", "role_swap_scan", "regroup_hits", "best_domain", "top_hits", "format_sci", "registry_merge", "inject_thresholds"])
+@pytest.mark.parametrize("name", ["digitize_residues", "flat_result", "cascade", "cut_nc", "role_swap_scan", "regroup_hits", "best_domain", "top_hits", "format_sci", "registry_merge", "inject_thresholds", "fasta_files", "sequence_rows", "profile_files", "result_tsv"])
 def test_query_equals_its_sql(spark, name):
     connection = duckdb.connect()
     for t in ("documents", "benchmark"):
