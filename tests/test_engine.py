@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import profilum as P
-from profilum import cli, config, databases
+from profilum import chunk_bench, cli, config, databases
 from profilum.functions.residues import AMINO, reverse_complement
 from profilum.functions.stats import general, scientific
 from profilum.kernel.build import conditional, from_sequence
@@ -124,6 +124,19 @@ def test_chunks_of_profiles_share_one_pass(spark, files, monkeypatch):
     assert "Union" not in single[2] and single[2].count("MapInPandas") == 1
 
 
+def test_bench_by_chunks(spark, files, tmp_path):
+    out = tmp_path / "b.csv"
+    for limit, lines in ((1, 2), (9, 4)):
+        assert chunk_bench.main(["--hmms", str(files / "two.hmm"), "--sequences", str(files / "p.faa"), "--chunk-size", "1", "--max-chunks", str(limit), "--out", str(out)]) == 0
+        assert len(out.read_text().splitlines()) == lines
+    rows = [line.split(",") for line in out.read_text().splitlines()]
+    assert tuple(rows[0]) == chunk_bench.COLUMNS and [r[4] for r in rows[1:]] == ["0", "0", "1"]
+    chunks = chunk_bench.with_chunks(read_profiles(spark, str(files / "two.hmm")), 2)
+    assert [r["chunk"] for r in chunks.collect()] == [0, 0] and chunk_bench.resident_mb() > 0
+    with pytest.raises(ValueError):
+        chunk_bench.with_chunks(chunks, 0)
+
+
 def test_options_are_checked(spark, files):
     for bad in ({"cut_ga": True, "cut_tc": True}, {"cascade": True, "cut_nc": True}):
         with pytest.raises(ValueError):
