@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from profilum.llm import text as X
 from profilum.llm.components import components
-from profilum.llm.shared import discard, stash, unused
+from profilum.llm.shared import discard, fetched, stash, unused
 from profilum.sources.tables import read_table
 
 SHINGLE = 5
@@ -451,7 +451,7 @@ def _filter_bits(nodes: DataFrame) -> np.ndarray:
         return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(full, bitorder="little").tobytes()], pa.binary())})
 
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for row in nodes.mapInArrow(mark, "chunk int, cells binary").groupBy("chunk").applyInArrow(merge, "chunk int, bits binary").toLocalIterator():
+    for row in fetched(nodes.mapInArrow(mark, "chunk int, cells binary").groupBy("chunk").applyInArrow(merge, "chunk int, bits binary")):
         out[row["chunk"] * (width >> 3) : (row["chunk"] + 1) * (width >> 3)] = np.frombuffer(row["bits"], np.uint8)
     return out
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
+#: Jobs in which a bounded result comes to the driver at most.
+FETCHES = 16
 #: Bytes of a row group.
 BLOCK_BYTES = 16 << 20
 #: Where each stashed table lies.
@@ -62,3 +67,14 @@ def unused(columns: list[str], *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def fetched(df: DataFrame) -> Iterator[Row]:
+    """The rows, in any order.  An iterator takes a job for each partition, and a shuffle may leave hundreds of small ones."""
+    return df.coalesce(FETCHES).toLocalIterator(prefetchPartitions=True)
+
+
+def release() -> None:
+    """Give freed memory back to the system, where the C library has a call for it (glibc keeps up to 64 MB to itself)."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilum.llm import text as X
-from profilum.llm.shared import unused
+from profilum.llm.shared import fetched, unused
 from profilum.sources.tables import read_table
 
 WINDOW, GRAM = 35, 20
@@ -132,7 +132,7 @@ def repeated_cells(docs: DataFrame, cells: int, window: int = WINDOW, gram: int
 
     merged = _texts(docs, text_col).mapInArrow(fill, "chunk int, cells binary").groupBy("chunk").applyInArrow(merge, "chunk int, bits binary")
     out = [np.zeros(max(1, cells >> 3), np.uint8) for _ in range(2)]
-    for row in merged.toLocalIterator(prefetchPartitions=True):
+    for row in fetched(merged):
         r, c = divmod(row["chunk"], chunks)
         out[r][c * (width >> 3) : (c + 1) * (width >> 3)] = np.frombuffer(row["bits"], np.uint8)
     return out

@@ -30,12 +30,15 @@ from pyspark.sql import functions as F
 
 from profilum.llm import text as X
 from profilum.llm.labels import SAMPLE_ROWS, labelled_sample, remainder
+from profilum.llm.shared import release
 from profilum.sources.tables import read_table
 
 BITS = 20
 PREFIXES = (4, 5, 6, 7, 8)
 #: Occurrences in 100 words from which an entry may vote.
 DENSITIES = (0.0, 0.1, 0.3, 1.0)
+#: Rows of votes worked on at once.
+BLOCK_ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -96,35 +99,45 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.n
     keeps beside those it is correlated with given the label.
     """
     n, m = votes.shape
-    signed = votes.astype(np.float32)  # row, voter
-    yes, no = (votes > 0).astype(np.float32), (votes < 0).astype(np.float32)
+
+    def blocks() -> Iterator[tuple[slice, np.ndarray]]:
+        for at in range(0, n, BLOCK_ROWS):
+            yield slice(at, at + BLOCK_ROWS), votes[at : at + BLOCK_ROWS].astype(np.float32)
 
     def alike(weight: np.ndarray | None) -> np.ndarray:
         """Correlations of the voters, over weighted rows."""
         w = np.ones(n, np.float32) if weight is None else (weight + 1e-9).astype(np.float32)
-        centred = signed - w @ signed / w.sum()
-        centred *= np.sqrt(w)[:, None]
-        spread = np.sqrt(np.einsum("nm,nm->m", centred, centred)) + 1e-9
-        return np.abs(centred.T @ centred) / np.outer(spread, spread)
+        mean = sum(w[own] @ signed for own, signed in blocks()) / w.sum()
+        both = np.zeros((m, m))
+        for own, signed in blocks():
+            signed -= mean
+            signed *= np.sqrt(w[own])[:, None]
+            both += signed.T @ signed
+        spread = np.sqrt(both.diagonal()) + 1e-9
+        return np.abs(both) / np.outer(spread, spread)
 
     # voters that nearly repeat each other count as one from the start
     share = 1 / np.maximum((alike(None) > 0.9).sum(1), 1)
     share32 = share.astype(np.float32)
-    q = np.where(yes @ share32 > no @ share32, 0.9, 0.1)
+    q = np.concatenate([np.where((signed > 0) @ share32 > (signed < 0) @ share32, 0.9, 0.1) for _, signed in blocks()])
     rates = np.zeros((m, 3, 2))
     for step in range(rounds):
-        for y, weight in enumerate((1 - q, q)):
-            w = weight.astype(np.float32)
-            votes_for, against = w @ yes, w @ no
-            count = np.stack([votes_for, against, np.maximum(w.sum() - votes_for - against, 0)], 1) + np.array([0.01, 0.01, 0.1])
+        weights = np.stack([1 - q, q]).astype(np.float32)
+        votes_for, against = np.zeros((2, m)), np.zeros((2, m))
+        for own, signed in blocks():
+            votes_for += weights[:, own] @ (signed > 0).astype(np.float32)
+            against += weights[:, own] @ (signed < 0).astype(np.float32)
+        for y in (0, 1):
+            count = np.stack([votes_for[y], against[y], np.maximum(weights[y].sum() - votes_for[y] - against[y], 0)], 1) + np.array([0.01, 0.01, 0.1])
             rates[:, :, y] = count / count.sum(1, keepdims=True)
         if step % 10 == 5:
-            mass = np.maximum(alike(1 - q), alike(q)) * (yes.any(0) | no.any(0))
+            mass = np.maximum(alike(1 - q), alike(q)) * votes.any(0)
             np.fill_diagonal(mass, 1)
             share = 1 / np.where(mass > 0.3, mass, 0).sum(1)
         odds = np.log(rates[:, :, 1] / rates[:, :, 0]) * share[:, None]
         odds[:, 2] = np.clip(odds[:, 2], -0.02, 0.02)  # silence says little
-        logit = np.log(prior / (1 - prior)) + odds[:, 2].sum() + yes @ (odds[:, 0] - odds[:, 2]).astype(np.float32) + no @ (odds[:, 1] - odds[:, 2]).astype(np.float32)
+        said = [(odds[:, k] - odds[:, 2]).astype(np.float32) for k in (0, 1)]
+        logit = np.log(prior / (1 - prior)) + odds[:, 2].sum() + np.concatenate([(signed > 0) @ said[0] + (signed < 0) @ said[1] for _, signed in blocks()])
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if np.abs(new - q).max() < 1e-5 and step > 12:
             q = new
@@ -265,8 +278,8 @@ def fit(flat: np.ndarray, value: np.ndarray, offsets: np.ndarray, extra: np.ndar
 
 def fit_sample(sample: DataFrame, settings: Settings = DEFAULT) -> Model:
     """Fits on the rows of ``labelled_sample``: one pass sums up all features, a second brings the chosen ones to the driver."""
-    # the few sampled texts are brought together first: an iterator takes one partition after another
-    near = sample.repartition(FIT_PARTS, "doc_id").sortWithinPartitions("doc_id")
+    # the few sampled texts are brought together first: an iterator takes one partition after another, each in a job of its own
+    near = sample.repartition(FIT_PARTS, "doc_id").coalesce(FIT_PARTS).sortWithinPartitions("doc_id")
 
     def rows(wanted):
         def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,6 +299,7 @@ def fit_sample(sample: DataFrame, settings: Settings = DEFAULT) -> Model:
         told.add(flat, value, label)
     lexicon, chosen = choose_features(told, settings)
     del told
+    release()
     wanted = np.zeros(1 << BITS, bool)
     wanted[lexicon] = wanted[chosen] = True
     flats, values, labels, extras = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], [], []
@@ -295,7 +309,12 @@ def fit_sample(sample: DataFrame, settings: Settings = DEFAULT) -> Model:
         labels.append(label)
         extras.append(extra)
     offsets = np.cumsum([len(f) for f in flats], dtype=np.int64)
-    return fit(np.concatenate(flats), np.concatenate(values), offsets, np.array(extras).reshape(-1, 3), np.array(labels, np.int64), lexicon, chosen, settings)
+    flat, value = np.concatenate(flats), np.concatenate(values)
+    del flats, values
+    model = fit(flat, value, offsets, np.array(extras).reshape(-1, 3), np.array(labels, np.int64), lexicon, chosen, settings)
+    del flat, value, extras
+    release()
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
